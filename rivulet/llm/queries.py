@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rivulet.llm.common import read_table
+from rivulet.llm.lang_id import op3_query
 from rivulet.llm.url_filter import OP9_SQL, op9_query
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_language_id": lambda spark, d: op3_query(read_table(spark, d, "documents")),
         "op9_url_filter": lambda spark, d: op9_query(read_table(spark, d, "pages")),
     }
 
