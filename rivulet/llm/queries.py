@@ -10,6 +10,7 @@ from rivulet.llm.common import read_table
 from rivulet.llm.chat import OP2_SQL, op2_query
 from rivulet.llm.html_extract import op5_query
 from rivulet.llm.lang_id import op3_query
+from rivulet.llm.near_dedup import OP4_SQL, op4_query
 from rivulet.llm.packing import op1_query
 from rivulet.llm.url_filter import OP9_SQL, op9_query
 
@@ -19,10 +20,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_curve_packing": lambda spark, d: op1_query(read_table(spark, d, "documents")),
         "op2_reply_trees": lambda spark, d: op2_query(read_table(spark, d, "conversations")),
         "op3_language_id": lambda spark, d: op3_query(read_table(spark, d, "documents")),
+        "op4_minhash_dedup": lambda spark, d: op4_query(read_table(spark, d, "documents")),
         "op5_html_text": lambda spark, d: op5_query(read_table(spark, d, "pages")),
         "op9_url_filter": lambda spark, d: op9_query(read_table(spark, d, "pages")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_reply_trees": OP2_SQL, "op9_url_filter": OP9_SQL}
+    return {"op2_reply_trees": OP2_SQL, "op4_minhash_dedup": OP4_SQL, "op9_url_filter": OP9_SQL}
