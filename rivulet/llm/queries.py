@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rivulet.llm.common import read_table
 from rivulet.llm.chat import OP2_SQL, op2_query
+from rivulet.llm.embed_dedup import OP6_SQL, op6_query
 from rivulet.llm.html_extract import op5_query
 from rivulet.llm.lang_id import op3_query
 from rivulet.llm.near_dedup import OP4_SQL, op4_query
@@ -22,9 +23,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": lambda spark, d: op3_query(read_table(spark, d, "documents")),
         "op4_minhash_dedup": lambda spark, d: op4_query(read_table(spark, d, "documents")),
         "op5_html_text": lambda spark, d: op5_query(read_table(spark, d, "pages")),
+        "op6_pstable_vectors": lambda spark, d: op6_query(read_table(spark, d, "embeddings")),
         "op9_url_filter": lambda spark, d: op9_query(read_table(spark, d, "pages")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_reply_trees": OP2_SQL, "op4_minhash_dedup": OP4_SQL, "op9_url_filter": OP9_SQL}
+    return {"op2_reply_trees": OP2_SQL, "op4_minhash_dedup": OP4_SQL, "op6_pstable_vectors": OP6_SQL, "op9_url_filter": OP9_SQL}
