@@ -13,6 +13,7 @@ from rivulet.llm.html_extract import op5_query
 from rivulet.llm.lang_id import op3_query
 from rivulet.llm.near_dedup import OP4_SQL, op4_query
 from rivulet.llm.packing import op1_query
+from rivulet.llm.pii import op10_query
 from rivulet.llm.url_filter import OP9_SQL, op9_query
 
 
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_html_text": lambda spark, d: op5_query(read_table(spark, d, "pages")),
         "op6_pstable_vectors": lambda spark, d: op6_query(read_table(spark, d, "embeddings")),
         "op9_url_filter": lambda spark, d: op9_query(read_table(spark, d, "pages")),
+        "op10_pii_votes": lambda spark, d: op10_query(read_table(spark, d, "documents")),
     }
 
 
