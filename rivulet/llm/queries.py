@@ -14,6 +14,7 @@ from rivulet.llm.lang_id import op3_query
 from rivulet.llm.near_dedup import OP4_SQL, op4_query
 from rivulet.llm.packing import op1_query
 from rivulet.llm.pii import op10_query
+from rivulet.llm.substring_dedup import OP8_SQL, op8_query
 from rivulet.llm.url_filter import OP9_SQL, op9_query
 
 
@@ -25,10 +26,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_minhash_dedup": lambda spark, d: op4_query(read_table(spark, d, "documents")),
         "op5_html_text": lambda spark, d: op5_query(read_table(spark, d, "pages")),
         "op6_pstable_vectors": lambda spark, d: op6_query(read_table(spark, d, "embeddings")),
+        "op8_anchor_repeats": lambda spark, d: op8_query(read_table(spark, d, "documents")),
         "op9_url_filter": lambda spark, d: op9_query(read_table(spark, d, "pages")),
         "op10_pii_votes": lambda spark, d: op10_query(read_table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_reply_trees": OP2_SQL, "op4_minhash_dedup": OP4_SQL, "op6_pstable_vectors": OP6_SQL, "op9_url_filter": OP9_SQL}
+    return {"op2_reply_trees": OP2_SQL, "op4_minhash_dedup": OP4_SQL, "op6_pstable_vectors": OP6_SQL, "op8_anchor_repeats": OP8_SQL, "op9_url_filter": OP9_SQL}
