@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rivulet.llm.common import read_table
 from rivulet.llm.chat import OP2_SQL, op2_query
+from rivulet.llm.decontaminate import op7_query
 from rivulet.llm.embed_dedup import OP6_SQL, op6_query
 from rivulet.llm.html_extract import op5_query
 from rivulet.llm.lang_id import op3_query
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_minhash_dedup": lambda spark, d: op4_query(read_table(spark, d, "documents")),
         "op5_html_text": lambda spark, d: op5_query(read_table(spark, d, "pages")),
         "op6_pstable_vectors": lambda spark, d: op6_query(read_table(spark, d, "embeddings")),
+        "op7_template_leaks": lambda spark, d: op7_query(read_table(spark, d, "documents"), read_table(spark, d, "benchmark")),
         "op8_anchor_repeats": lambda spark, d: op8_query(read_table(spark, d, "documents")),
         "op9_url_filter": lambda spark, d: op9_query(read_table(spark, d, "pages")),
         "op10_pii_votes": lambda spark, d: op10_query(read_table(spark, d, "documents")),
