@@ -53,22 +53,27 @@ def branch_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     base = messages.select(key(F.col("tree"), F.col("node")).alias("k"), key(F.col("tree")).alias("tree_key"), F.when(F.col("parent").isNotNull(), key(F.col("tree"), F.col("parent").alias("node"))).alias("pk"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("s"))
     base = base.groupBy("k").agg(F.min("tree_key").alias("tree_key"), F.min("pk").alias("pk"), F.min("s").alias("s"))
     known = base.select(F.col("k").alias("pk"), F.lit(True).alias("there"))
-    # one row per message: the ancestor 2**i above (null: above the root), messages and score from here up to before it
-    jump = written(base.join(known, "pk", "left").select("k", "tree_key", F.when(F.col("there"), F.col("pk")).alias("up"), F.lit(1).cast("long").alias("steps"), "s"), "jumps")
-    jumps = [jump]
-    for _ in range(40):
-        if not jump.where("up IS NOT NULL").limit(1).count():
-            break
-        above = jump.select(F.col("k").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("s").alias("s2"))
-        jump = written(jump.join(above, "up", "left").select("k", "tree_key", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("s")), "jumps")
+    first = written(base.join(known, "pk", "left").select("k", "tree_key", F.when(F.col("there"), F.col("pk")).alias("up"), "s"), "jumps")
+    done = first.where("up IS NULL").select("k", "tree_key", F.lit(1).cast("long").alias("steps"), F.col("s").alias("total"))
+    # jumps[i]: the messages with an ancestor 2**i above, that ancestor, and the score from here up to before it
+    jump = first.where("up IS NOT NULL")
+    jumps: list[DataFrame] = []
+    while jump.limit(1).count():
         jumps.append(jump)
-    rooted = jump.where("up IS NULL")
-    leaves = rooted.join(jumps[0].select(F.col("up").alias("k")), "k", "left_anti")
-    best = Window.partitionBy("tree_key").orderBy(F.desc("s"), F.length("k"), "k")
+        ended = done.select(F.col("k").alias("up"), F.col("steps").alias("steps2"), F.col("total").alias("total2"))
+        ends = written(jump.join(ended, "up").select("k", "tree_key", (F.col("steps2") + (1 << len(jumps) - 1)).alias("steps"), (F.col("s") + F.col("total2")).alias("total")), "depths")
+        if not ends.limit(1).count():
+            break  # what is left leads into cycles
+        above = jump.select(F.col("k").alias("up"), F.col("up").alias("up2"), F.col("s").alias("s2"))
+        done = done.unionByName(ends)
+        jump = written(jump.join(above, "up").select("k", "tree_key", F.col("up2").alias("up"), (F.col("s") + F.col("s2")).alias("s")), "jumps")
+    parents = first.where("up IS NOT NULL").select(F.col("up").alias("k")).distinct()
+    leaves = done.join(parents, "k", "left_anti")
+    best = Window.partitionBy("tree_key").orderBy(F.desc("total"), F.length("k"), "k")
     path = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches)
-    path = written(path.select(F.col("k").alias("leaf_key"), F.col("k").alias("node_key"), F.col("steps").alias("position"), "rank", F.col("s").alias("path_score"), F.col("steps").alias("depth")), "paths")
-    for i in reversed(range(len(jumps) - 1)):
-        higher = jumps[i].where("up IS NOT NULL").select(F.col("k").alias("node_key"), "up")
+    path = written(path.select(F.col("k").alias("leaf_key"), F.col("k").alias("node_key"), F.col("steps").alias("position"), "rank", F.col("total").alias("path_score"), F.col("steps").alias("depth")), "paths")
+    for i in reversed(range(len(jumps))):
+        higher = jumps[i].select(F.col("k").alias("node_key"), "up")
         reached = path.join(higher, "node_key").select("leaf_key", F.col("up").alias("node_key"), (F.col("position") - (1 << i)).alias("position"), "rank", "path_score", "depth")
         wider = written(path.unionByName(reached), "paths")
         discard(path)
