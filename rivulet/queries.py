@@ -116,7 +116,7 @@ def analysis(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    v = F.col(VALUE)
+    v = lambda: F.col(VALUE)
     cents = lambda c: F.round(c * 100).cast(LONG)
     return {
         "range_exclusive": lambda s, d: Stream.range(s, 0, 100).df,
@@ -128,8 +128,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "permutations": lambda s, d: items(s, d, "region", ["r_name"], "r_name").permutations(2).split("v0", "v1"),
         "permutations_with_replacement": lambda s, d: items(s, d, "region", ["r_name"], "r_name").permutations_with_replacement(3).split("v0", "v1", "v2"),
         "combinations": lambda s, d: items(s, d, "nation", ["n_nationkey"], "n_nationkey").combinations(3).split("v0", "v1", "v2"),
-        "comb_after_perm": lambda s, d: items(s, d, "region", ["r_regionkey"], "r_regionkey").permutations(2).combinations(2).frame.select(*(v[i][j].alias(f"v{i}{j}") for i in range(2) for j in range(2))),
-        "tuple_ranks": lambda s, d: items(s, d, "nation", ["n_nationkey"], "n_nationkey").combinations(4).frame.select(F.col("_seq").alias("place"), *(v[i].alias(f"v{i}") for i in range(4))),
+        "comb_after_perm": lambda s, d: items(s, d, "region", ["r_regionkey"], "r_regionkey").permutations(2).combinations(2).frame.select(*(v()[i][j].alias(f"v{i}{j}") for i in range(2) for j in range(2))),
+        "tuple_ranks": lambda s, d: items(s, d, "nation", ["n_nationkey"], "n_nationkey").combinations(4).frame.select(F.col("_seq").alias("place"), *(v()[i].alias(f"v{i}") for i in range(4))),
         "keep_first_n": lambda s, d: items(s, d, "orders", ["o_orderkey", "o_totalprice"], "o_orderkey").keep_first_n(20, key=lambda x: x["o_totalprice"]).df,
         "keep_first_n_smallest": lambda s, d: items(s, d, "part", ["p_partkey", "p_size"], "p_partkey").keep_first_n(15, key=lambda x: x["p_size"], ascending=True).df,
         "keep_first_n_comparator": lambda s, d: items(s, d, "customer", ["c_custkey", "c_nationkey"], "c_custkey").keep_first_n(10, compare=lambda a, b: (a["c_nationkey"] % 7 > b["c_nationkey"] % 7) - (a["c_nationkey"] % 7 < b["c_nationkey"] % 7)).df,
