@@ -20,7 +20,7 @@ UNITS = (
     "ounce ounces ton tons liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees"
 ).split()
 MARK = "\u0002"  # stands before a name
-NAME = r"(?<=[\p{Ll}\p{N},;:)] )\p{Lu}\p{L}+"
+NAME = r"(?<=[\p{Ll}\p{N},;:)] )\p{Lu}\p{Ll}+(?!\p{L})"
 WORD = MARK + r"?[\p{L}\p{N}]++(?:[.,][0-9]++)*+"
 
 

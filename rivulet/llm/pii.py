@@ -3,7 +3,8 @@
 Fixed formats (email, ip, card, phone) are always reported.  Beyond them, identifier-like tokens are candidates on
 which labelers vote: regular expressions, word lists and context.  The counts of the vote patterns, a bounded table,
 go to the driver; expectation-maximisation estimates each labeler's reliability from its agreement with the others,
-and the posteriors train a logistic span classifier on votes and shape, which decides about every candidate.
+and the posteriors train a logistic span classifier on votes and shape, which decides about every candidate that has at least
+one labeler's vote for it.
 """
 
 from __future__ import annotations
@@ -170,10 +171,10 @@ def added_spans(text: Column, model: SpanModel | None) -> Column:
         return F.array().cast(SPAN)
 
     def accepted(c):
-        score = F.lit(model.bias)
-        for x, w in zip([*votes(c), *shape(c)], model.weights, strict=True):
+        score, cast = F.lit(model.bias), votes(c)
+        for x, w in zip([*cast, *shape(c)], model.weights, strict=True):
             score = score + x * F.lit(w)
-        return score > 0
+        return (F.greatest(*cast) > 0) & (score > 0)
 
     return F.transform(F.filter(candidates(text), accepted), lambda c: F.struct(F.lit("secret").alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
 
