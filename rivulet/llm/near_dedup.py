@@ -4,11 +4,13 @@ A document is its set of distinct word shingles.  Equal sets are folded into one
 is posted under each (coordinate, value) of its MinHash signature; values that only one document has match nothing and
 are dropped.  Two documents that agree in at least min_matches coordinates must meet under one of their rarest
 ``postings - min_matches + 1`` values, so only that prefix is joined (common values are skipped) and agreements are
-counted on the whole lists.  Pairs that reach min_matches are confirmed on the full sets.
+counted on the whole lists.  Pairs that reach min_matches, and whose LOWEST smallest hashes (the whole set, if it is no larger) do not
+put them four standard deviations under the threshold, are confirmed on the full sets.
 
 Links are only needed up to reachability, so pairs inside one component are never made: first every document is
-confirmed against the leader it meets most often, and then only pairs from different components are.  A group of n
-near copies costs about n pairs.
+confirmed against the leader it meets most often (of each value, the document with the commonest values: the text that
+the others vary), then against its likeliest partner elsewhere, and at last every candidate pair from different
+components is.  A group of n near copies costs about n pairs.
 """
 
 from __future__ import annotations
@@ -20,10 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import WordHasher, connected_components, discard, mix, small_batches, text_chunks, written
+from rivulet.llm.common import WordHasher, connected_components, mix, small_batches, text_chunks, written
 
 COORDINATES = 40
 MIN_MATCHES = 20
+LOWEST = 384
+BLOCK = 256
+BROADCAST_IDS = 2_000_000  # 16 MB
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,37 +61,159 @@ def shingle_sets(texts, words: int):
         yield i, j, np.concatenate(found) if found else w[:0], np.array(ends)
 
 
+def crossings(blocks: DataFrame, percent: int, coordinates: int, min_matches: int, signatures_only: bool = False, best_only: bool = False) -> DataFrame:
+    """Candidate pairs (a, b), a > b, with estimated similarity, from pairs of blocks of documents that share a value.
+
+    Documents of different components count the coordinates in which they agree, and the hashes that their lists of
+    smallest ones share; between whole sets that is exact, otherwise an estimate from the hashes below both ends.
+    signatures_only: the sketches are signatures alone, and the result the documents (doc) that agree enough with any.
+    best_only: of a pair of blocks, only the likeliest partner of each left document.
+    """
+
+    def unpacked(column):
+        s = column.flatten()
+        docs, parts, sizes = (s.field(c).to_numpy(zero_copy_only=False) for c in ("doc", "component", "n"))
+        raw = s.field("sketch")
+        if signatures_only:  # an array of int, otherwise its bytes and more
+            ends, data = raw.offsets.to_numpy(), raw.values.to_numpy().view(np.uint32)
+        else:
+            raw = raw.cast(pa.large_binary())
+            ends, data = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] // 4, np.frombuffer(raw.buffers()[2], np.uint32)
+        return np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())]), docs, parts, sizes, ends, data
+
+    class Side:
+        def __init__(self, column, k):
+            at, docs, parts, sizes, ends, data = column
+            i, j = int(at[k]), int(at[k + 1])
+            self.docs, self.parts, self.sizes = docs[i:j], parts[i:j], sizes[i:j]
+            place = ends[i:j, None] + np.arange(coordinates)
+            self.signature = data[place]
+            self.held = np.diff(ends[i : j + 1]) - coordinates
+            owner = np.repeat(np.arange(j - i), self.held)
+            first = np.cumsum(self.held) - self.held
+            low = data[(ends[i:j] + coordinates - first)[owner] + np.arange(len(owner))]
+            self.keys = (owner.astype(np.uint64) << np.uint64(32)) | low
+            self.first, self.owner, self.low = first, owner, low
+            self.whole = self.held == self.sizes
+            last = low[np.maximum(first + self.held - 1, 0)].astype(np.int64) if len(low) else np.zeros(j - i, np.int64)
+            self.last = np.where(self.whole, 1 << 32, last)
+
+        def matrix(self, values):
+            m = np.zeros((len(self.docs), len(values)), np.float32)
+            at = np.minimum(np.searchsorted(values, self.low), len(values) - 1)
+            ok = values[at] == self.low
+            m[self.owner[ok], at[ok]] = 1
+            return m
+
+        def below(self, rows, limit):
+            return np.searchsorted(self.keys, (rows.astype(np.uint64) << np.uint64(32)) | np.minimum(limit, (1 << 32) - 1).astype(np.uint64), "right") - self.first[rows]
+
+    def run(batches):
+        p = percent / 100
+        for batch in batches:
+            found = [np.zeros(0 if signatures_only else (0, 2), np.int64)]
+            scores = [np.zeros(0)]
+            lefts, rights = unpacked(batch.column(0)), unpacked(batch.column(1))
+            for k, main in enumerate(batch.column(2).to_pylist()):
+                a, b = Side(lefts, k), Side(rights, k)
+                go = (a.parts[:, None] != b.parts[None]) & ((b.parts[None] == main) | (a.docs[:, None] < b.docs[None]))
+                go &= np.minimum(a.sizes[:, None], b.sizes[None]) * 100 >= np.maximum(a.sizes[:, None], b.sizes[None]) * percent
+                if not go.any():
+                    continue
+                if signatures_only:
+                    agree = np.zeros(go.shape, np.int16)
+                    for c in range(coordinates):
+                        agree += a.signature[:, None, c] == b.signature[None, :, c]
+                    go &= agree >= min_matches
+                    found.append(np.concatenate([a.docs[go.any(axis=1)], b.docs[go.any(axis=0)]]))
+                    continue
+                common = np.intersect1d(a.low, b.low)
+                same = np.zeros(go.shape, np.float32)
+                for c in range(0, len(common), 8192):
+                    same += a.matrix(common[c : c + 8192]) @ b.matrix(common[c : c + 8192]).T
+                x, y = np.nonzero(go & (same >= (p - 0.3) * np.minimum(a.held[:, None], b.held[None])))
+                full = (a.signature[x] == b.signature[y]).sum(axis=1) >= min_matches
+                x, y = x[full], y[full]
+                limit = np.minimum(a.last[x], b.last[y])
+                shared = same[x, y].astype(np.int64)
+                either = a.below(x, limit) + b.below(y, limit) - shared
+                slack = np.where(a.whole[x] & b.whole[y], 0, 4 * np.sqrt(p * (1 - p) / np.maximum(either, 1)))
+                ok = shared >= (p - slack) * either - 1e-9
+                x, y, score = x[ok], y[ok], shared[ok] / either[ok]
+                if best_only:
+                    order = np.lexsort((score, x))
+                    order = order[np.append(x[order][1:] != x[order][:-1], True)] if len(order) else order
+                    x, y, score = x[order], y[order], score[order]
+                scores.append(score)
+                x, y = a.docs[x], b.docs[y]
+                found.append(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1))
+            if signatures_only:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], names=["doc"])
+                continue
+            out, first = np.unique(np.concatenate(found), axis=0, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(np.concatenate(scores).astype(np.float64)[first])], names=["a", "b", "score"])
+
+    if signatures_only:
+        return blocks.mapInArrow(run, "doc long").distinct()
+    return blocks.mapInArrow(run, "a long, b long, score double").groupBy("a", "b").agg(F.max("score").alias("score"))
+
+
+def signatures(sets: np.ndarray, ends: np.ndarray, coordinates: int) -> tuple[np.ndarray, np.ndarray]:
+    """MinHash signatures of the rows whose set is not empty, and which rows those are."""
+    rng = np.random.default_rng(5)
+    mults = rng.integers(1, 1 << 63, coordinates, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    adds = rng.integers(0, 1 << 63, coordinates, dtype=np.uint64)
+    some = np.diff(ends) > 0
+    out = np.zeros((int(some.sum()), coordinates), np.uint32)
+    for k in range(coordinates if len(out) else 0):
+        out[:, k] = np.minimum.reduceat(((sets * mults[k] + adds[k]) >> np.uint64(32)).astype(np.uint32), ends[:-1][some])
+    return out, some
+
+
 def sketches(docs: DataFrame, words: int, coordinates: int = COORDINATES) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set, and its signature (null for an empty set)."""
+    """doc_id, n_shingles, two hashes of the set, and its signature (no coordinates for an empty set)."""
 
     def run(batches):
-        rng = np.random.default_rng(5)
-        mults = rng.integers(1, 1 << 63, coordinates, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        adds = rng.integers(0, 1 << 63, coordinates, dtype=np.uint64)
         for b in small_batches(batches):
             for i, j, sets, ends in shingle_sets(b.column(1), words):
                 sizes = np.diff(ends)
-                some = np.flatnonzero(sizes)
-                starts = ends[:-1][some]
+                signature, some = signatures(sets, ends, coordinates)
                 total = np.zeros((2, j - i), np.uint64)
-                signature = np.zeros((len(some), coordinates), np.uint32)
-                if len(some):
-                    for k in range(2):
-                        total[k, some] = np.add.reduceat(mix(sets + np.uint64((k + 1) * int(_STEP) & 0xFFFFFFFFFFFFFFFF)), starts)
-                    for k in range(coordinates):
-                        signature[:, k] = np.minimum.reduceat(((sets * mults[k] + adds[k]) >> np.uint64(32)).astype(np.uint32), starts)
+                for k in range(2 if some.any() else 0):
+                    total[k, some] = np.add.reduceat(mix(sets + np.uint64((k + 1) * int(_STEP) & 0xFFFFFFFFFFFFFFFF)), ends[:-1][some])
                 at = np.zeros(j - i + 1, np.int32)
                 at[1:] = np.cumsum(sizes > 0) * coordinates
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(signature.ravel().view(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array(total[0].view(np.int64)), pa.array(total[1].view(np.int64)), lists], names=["doc_id", "n_shingles", "h1", "h2", "signature"])
+                columns = [b.column(0).slice(i, j - i), *(pa.array(x) for x in (sizes.astype(np.int64), total[0].view(np.int64), total[1].view(np.int64))), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "h1", "h2", "signature"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signature array<int>")
 
 
+def candidates(docs: DataFrame, ids: DataFrame, words: int, coordinates: int) -> DataFrame:
+    """doc, text, and signature and smallest hashes (upper halves) as bytes, of the documents in ids (doc); written.
+
+    The ids are counted: up to BROADCAST_IDS of them go to the texts, beyond that both sides are shuffled.
+    """
+    ids = written(ids.select("doc").distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    met = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, "doc")
+
+    def run(batches):
+        for b in small_batches(batches):
+            for i, j, sets, ends in shingle_sets(b.column(1), words):
+                upper = (sets >> np.uint64(32)).astype(np.uint32)  # each row's are sorted
+                signature, some = signatures(sets, ends, coordinates)
+                place = np.cumsum(np.diff(ends) > 0) - 1
+                both = [signature[place[r]].tobytes() + upper[ends[r] : min(ends[r + 1], ends[r] + LOWEST)].tobytes() if some[r] else b"" for r in range(j - i)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(both, pa.binary())], names=["doc", "text", "sketch"])
+
+    return written(met.mapInArrow(run, "doc long, text string, sketch binary"), "candidates")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on their full shingle sets."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
-    met = pairs.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("ta")), "a").join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    """The pairs (a, b) with 100 * intersection >= percent * union on their full shingle sets; docs from candidates()."""
+    met = pairs.join(docs.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(docs.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches):
         last: tuple[str | None, np.ndarray | None] = (None, None)
@@ -107,6 +234,36 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return met.mapInArrow(run, "a long, b long")
 
 
+def linked(joined: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after adding links (a, b) to the components so far."""
+    links = written(links, "links")
+    if joined is not None:
+        if not links.limit(1).count():
+            return joined
+        links = links.union(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return written(connected_components(links), "components")
+
+
+def meetings(lists: DataFrame, joined: DataFrame, min_matches: int) -> DataFrame:
+    """(key, main, block, doc, component, n) for every value that documents of several components share in their prefix.
+
+    main is the component of its smallest document; a block has about BLOCK documents, however many share the value.
+    """
+    members = lists.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    prefix = members.select("doc", "n", "component", F.explode(F.slice(F.col("posts.key"), F.lit(1), F.size("posts") - min_matches + 1)).alias("key"))
+    mixed = prefix.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(F.struct("doc", "component")).alias("lead"), F.count("*").alias("g")).where("c0 <> c1")
+    mixed = mixed.select("key", F.col("lead.component").alias("main"), F.ceil(F.col("g") / BLOCK).alias("parts"))
+    return written(prefix.join(mixed, "key"), "meetings").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("parts"))).drop("parts")
+
+
+def block_pairs(meeting: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Pairs of blocks (left, right, main): right blocks hold all documents of a value, left ones those outside its main component."""
+    rows = F.collect_list(F.struct("doc", "component", "n", "sketch"))
+    left = meeting.where("component <> main").join(sketch, "doc").groupBy("key", "block").agg(rows.alias("left"))
+    right = meeting.join(sketch, "doc").groupBy("key", "block").agg(rows.alias("right"), F.first("main").alias("main"))
+    return left.drop("block").join(right.drop("block"), "key").select("left", "right", "main")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = COORDINATES, min_matches: int = MIN_MATCHES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
@@ -122,30 +279,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     linkable = classes.where(F.col("n") * 100 >= (F.col("n") + 1) * percent)
     place = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     posts = linkable.select(F.col("rep").alias("doc"), "n", F.posexplode("signature").alias("pos", "value")).select("doc", "n", place.alias("key"))
-    shared = posts.groupBy("key").agg(F.count("*").alias("f"), F.min("doc").alias("lead")).where("f > 1")
-    lists = posts.join(shared, "key").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("f", "key", "lead"))).alias("posts")).where(F.size("posts") >= min_matches)
+    shared = posts.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
+    lists = posts.join(shared, "key").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("f", "key"))).alias("posts")).where(F.size("posts") >= min_matches)
+    lists = lists.join(classes.select(F.col("rep").alias("doc"), "signature"), "doc")
     lists = written(lists, "postings")
 
-    leaders = lists.select("doc", F.explode("posts.lead").alias("lead")).where("doc <> lead").groupBy("doc", "lead").count()
+    weight = F.aggregate("posts", F.lit(0).cast("long"), lambda s, p: s + p["f"])
+    weighed = lists.select("doc", weight.alias("w"), F.explode("posts.key").alias("key"))
+    heads = weighed.groupBy("key").agg(F.max(F.struct("w", (-F.col("doc")).alias("d"))).alias("m")).select("key", (-F.col("m.d")).alias("lead"))
+    leaders = weighed.join(heads, "key").where("doc <> lead").groupBy("doc", "lead").count()
     first = leaders.where(F.col("count") * 2 >= min_matches).groupBy("doc").agg(F.max(F.struct("count", (-F.col("lead")).alias("lead"))).alias("m")).select(F.col("doc").alias("a"), (-F.col("m.lead")).alias("b"))
-    stars = written(confirmed(first, docs, words, percent), "links")
-    joined = written(connected_components(stars), "components")
-    discard(stars)
-
-    members = lists.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    prefix = members.select("doc", "n", "component", F.col("posts.key").alias("keys"), F.explode(F.slice(F.col("posts.key"), F.lit(1), F.size("posts") - min_matches + 1)).alias("key"))
-    mixed = prefix.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(F.struct("doc", "component")).alias("lead")).where("c0 <> c1").select("key", F.col("lead.component").alias("main"))
-    meeting = written(prefix.join(mixed, "key"), "meetings")
-    left = meeting.where("component <> main").select("key", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("keys").alias("ka"))
-    right = meeting.select("key", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("keys").alias("kb"), "main")
-    crossing = left.join(
-        right,
-        (left["key"] == right["key"]) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
-        & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.size(F.array_intersect("ka", "kb")) >= min_matches),
-    ).select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b").distinct()
-    more = written(confirmed(crossing, docs, words, percent), "links")
-    if more.limit(1).count():
-        joined = connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    first = written(first, "leaders")
+    texts = candidates(docs, first.select(F.col("a").alias("doc")).union(first.select(F.col("b").alias("doc"))), words, coordinates)
+    joined = linked(None, confirmed(first, texts, words, percent))
+    meeting = meetings(lists, joined, min_matches)
+    apart = crossings(block_pairs(meeting, lists.select("doc", F.col("signature").alias("sketch"))), percent, coordinates, min_matches, signatures_only=True)
+    texts = candidates(docs, apart, words, coordinates)
+    some = written(lists.join(texts.select("doc"), "doc"), "postings")
+    for last in (False, True):
+        met = crossings(block_pairs(meetings(some, joined, min_matches), texts.select("doc", "sketch")), percent, coordinates, min_matches, best_only=not last)
+        if not last:  # each document with its likeliest partner: merges what one link can merge
+            ends = met.select(F.col("a").alias("x"), "a", "b", "score").union(met.select(F.col("b").alias("x"), "a", "b", "score"))
+            met = ends.groupBy("x").agg(F.max(F.struct("score", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+        joined = linked(joined, confirmed(met.select("a", "b"), texts, words, percent))
     where = classes.select("h1", "h2", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "h1", "h2").join(where, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
