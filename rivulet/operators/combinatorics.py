@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from rivulet.stream import SEQ, VALUE, Stream
 
 BROADCAST_ROWS = 1_000_000
+SPREAD_ROWS = 5_000_000  # tuples per task, about, once pairs are spread
 
 
 def total(op: str, n: int, k: int) -> int:
@@ -27,9 +28,15 @@ def total(op: str, n: int, k: int) -> int:
 
 
 def positioned(s: Stream, carried: dict[str, Column] | None = None) -> DataFrame:
-    """_p (dense position), _v (item) and carried columns; the numbering is one partition of the input."""
+    """_p (dense position), _v (item) and carried columns.
+
+    A stream whose count is known and whose places are longs is numbered without gaps already; others are numbered
+    here, in one partition.
+    """
     extra = [c.alias(n) for n, c in (carried or {}).items()]
     base = s.frame.select(SEQ, F.col(VALUE).alias("_v"), *extra)
+    if s.count is not None and isinstance(s.frame.schema[SEQ].dataType, T.LongType):
+        return base.withColumnRenamed(SEQ, "_p")
     return base.select((F.row_number().over(Window.orderBy(SEQ)) - 1).cast("long").alias("_p"), "_v", *(carried or {}))
 
 
@@ -96,9 +103,9 @@ def expand(s: Stream, op: str, k: int, carried: dict[str, Column] | None = None,
     if not rows:
         return none()
     side = lambda i: base.select(F.col("_p").alias(f"_p{i}"), F.col("_v").alias(f"_v{i}"), *(F.col(c).alias(f"{c}_{i}") for c in carried or {}))
-    # the numbering leaves one partition; spread it before it multiplies
-    width = max(1, min(spark.sparkContext.defaultParallelism * 2, n))
-    joined = side(0).repartition(width, "_p0") if rows > 10_000 else side(0)
+    # spread what multiplies: the first items, or the first pairs where there are tuples enough
+    width = spark.sparkContext.defaultParallelism * 4
+    joined = side(0).repartition(max(1, min(width, n)), "_p0") if rows > 10_000 else side(0)
     for i in range(1, k):
         right = F.broadcast(side(i)) if n <= BROADCAST_ROWS else side(i)
         if op == "combinations":
@@ -110,6 +117,8 @@ def expand(s: Stream, op: str, k: int, carried: dict[str, Column] | None = None,
             joined = joined.join(right, differ)
         else:
             joined = joined.crossJoin(right)
+        if i == 1 and k > 2 and rows > SPREAD_ROWS:
+            joined = joined.repartition(max(width, rows // SPREAD_ROWS) if rows // SPREAD_ROWS < n * n else n * n, "_p0", "_p1")
     positions = [F.col(f"_p{i}") for i in range(k)]
     seq = place(op, n, k, positions) if max(rows, math.comb(n, k) * (k + 1)) < 1 << 62 else F.array(*positions)
     names = [f"{c}_{i}" for c in carried or {} for i in range(k)]
