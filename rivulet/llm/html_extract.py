@@ -30,6 +30,7 @@ NAMED = frozenset(
     "newsletter subscribe subscription signup login form comment comments respond replies discussion disqus share sharing social related recommended "
     "recommendations widget pagination pager skip".split()
 )
+OWN_HEADER = frozenset("post entry article story content".split())  # whose header is the article's
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 BOUND = frozenset("article main section div body html table ul ol dl blockquote nav footer header aside form".split())
 SPACE = re.compile(r"\s+")
@@ -69,7 +70,7 @@ class Lines(HTMLParser):
             if tag not in INLINE or tag in VOID:
                 return
             hidden, apart, region, article = self.at
-            if attrs and self.named(attrs):
+            if attrs and self.named(attrs, self.at[3]):
                 self.flush()
                 apart = True
         else:
@@ -85,7 +86,7 @@ class Lines(HTMLParser):
                     break
             hidden, apart, region, article = self.at
             hidden = hidden or tag in HIDDEN
-            apart = apart or tag in APART or (tag == "header" and not article) or self.named(attrs)
+            apart = apart or tag in APART or (tag == "header" and not article) or self.named(attrs, article)
             if tag in ("article", "main") and not apart and not article:
                 article = True
                 self.regions += 1
@@ -99,10 +100,12 @@ class Lines(HTMLParser):
         self.at = (hidden, apart, region, article)
 
     @staticmethod
-    def named(attrs) -> bool:
+    def named(attrs, article: bool) -> bool:
+        """Whether class, id or role name something else than content; a header inside the article is the article's."""
         for name, value in attrs:
             if value and name in ("class", "id", "role"):
-                if not NAMED.isdisjoint(WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
+                words = set(WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+                if words & NAMED - ({"header"} if article or words & OWN_HEADER else set()):
                     return True
             elif name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
@@ -158,14 +161,16 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
     usable = [not x[4] for x in lines]
     if not any(usable):
         return ""
-    ratio = np.array([max(0, len(x[0]) - x[2]) / max(1, x[1]) if ok else 0.0 for x, ok in zip(lines, usable, strict=True)])
+    # a line of links has no text of its own
+    own = [max(0, len(x[0]) - x[2]) if x[2] <= 0.6 * len(x[0]) else 0 for x in lines]
+    ratio = np.array([n / max(1, x[1]) if ok else 0.0 for n, x, ok in zip(own, lines, usable, strict=True)])
     curve = smoothed(ratio, sigma)
     limit = share * curve.std()
     in_article = any(x[5] and ok for x, ok in zip(lines, usable, strict=True))
     score: dict[int, float] = {}
     for x, ok, c, r in zip(lines, usable, curve, ratio, strict=True):
         if ok and (x[5] or not in_article):
-            score[x[3]] = max(score.get(x[3], 0.0), min(c, r))
+            score[x[3]] = max(score.get(x[3], 0.0), c if r > 0 else 0.0)
     best = max(score.values())
     chosen = {k for k, v in score.items() if v >= min(limit, best)}
     return "\n".join(x[0] for x, ok in zip(lines, usable, strict=True) if ok and x[3] in chosen)
