@@ -121,3 +121,32 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op7_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return leaks(docs, benchmark)
+
+
+_UNIT_LIST = ", ".join(f"'{u}'" for u in UNITS)
+_MARKED = r"regexp_replace({0}, '([\p{{Ll}}\p{{N}},;:)] )(\p{{Lu}}\p{{Ll}}+)([^\p{{L}}]|$)', '\1' || chr(2) || '\2\3', 'g')"
+# RE2 has no look-behind, and what a match takes cannot begin the next one: two passes mark names that follow each other
+_WORDS = "regexp_extract_all(lower(" + _MARKED.format(_MARKED.format("replace(coalesce(text, ''), chr(2), ' ')")) + r"), '\x02?[\p{L}\p{N}]+(?:[.,][0-9]+)*')"
+_TEMPLATE = rf"list_transform(w, lambda x: CASE WHEN starts_with(x, chr(2)) THEN '<name>' WHEN regexp_matches(x, '^[0-9][0-9.,]*$') THEN '<num>' WHEN x IN ({_UNIT_LIST}) THEN '<unit>' ELSE x END)"
+_PLAIN = "len(list_filter(k, lambda x: x NOT IN ('<name>', '<num>', '<unit>'))) >= 3"
+OP7_SQL = rf"""
+WITH i0 AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT item_id, w AS raw, {_TEMPLATE} AS item FROM i0),
+d0 AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+d AS (SELECT doc_id, w, {_TEMPLATE} AS t FROM d0),
+iw AS (SELECT item_id, p, item[p:p + 4] AS k FROM i, unnest(range(1, len(item) - 3)) AS u(p)),
+dw AS (SELECT doc_id, p, t[p:p + 4] AS k FROM d, unnest(range(1, len(t) - 3, 5)) AS u(p)),
+h AS (SELECT DISTINCT doc_id, item_id, dw.p - iw.p AS shift FROM (SELECT * FROM dw WHERE {_PLAIN}) dw JOIN (SELECT * FROM iw WHERE {_PLAIN}) iw ON dw.k = iw.k),
+s AS (SELECT h.doc_id, h.item_id, i.raw, i.item, list_transform(range(1, len(item) + 1), lambda j: CASE WHEN j + shift >= 1 THEN d.w[j + shift] END) AS part,
+  list_transform(range(1, len(item) + 1), lambda j: CASE WHEN j + shift >= 1 THEN d.t[j + shift] END) AS template FROM h JOIN d USING (doc_id) JOIN i USING (item_id)),
+m AS (SELECT doc_id, item_id, raw, item, part, list_transform(range(1, len(item) + 1), lambda j: coalesce(item[j] = template[j], false)
+  AND (item[j] NOT IN ('<name>', '<num>', '<unit>') OR coalesce(part[j] = part[list_position(raw, raw[j])], false))) AS same FROM s),
+r AS (SELECT doc_id, item_id, len(item) AS n_words, list_filter(range(1, len(item) + 1), lambda j: same[j] AND (
+    coalesce(j > 1 AND same[j - 1] AND (j > 2 AND same[j - 2] OR coalesce(same[j + 1], false)), false) OR coalesce(same[j + 1] AND same[j + 2], false))) AS places,
+  coalesce(list_max(list_transform(regexp_extract_all(array_to_string(list_transform(same, lambda x: CASE WHEN x THEN '1' ELSE '0' END), ''), '1+'), lambda x: len(x))), 0) AS run,
+  len(list_filter(range(1, len(item) + 1), lambda j: same[j] AND item[j] IN ('<name>', '<num>', '<unit>') AND part[j] <> raw[j])) AS changed FROM m),
+p AS (SELECT doc_id, item_id, count(DISTINCT x) AS n FROM r, unnest(places) AS u(x) GROUP BY 1, 2),
+g AS (SELECT doc_id, item_id, n_words, max(run) AS longest_run, max(changed) AS n_slots_changed FROM r GROUP BY ALL)
+SELECT g.doc_id, g.item_id, g.n_words, coalesce(p.n, 0) AS n_matched, coalesce(p.n, 0) / g.n_words AS coverage, g.longest_run, g.n_slots_changed
+FROM g LEFT JOIN p USING (doc_id, item_id) WHERE coalesce(p.n, 0) / g.n_words >= 0.5 OR g.longest_run >= 13
+"""

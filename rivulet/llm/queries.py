@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rivulet.llm.common import read_table
 from rivulet.llm.chat import OP2_SQL, op2_query
-from rivulet.llm.decontaminate import op7_query
+from rivulet.llm.decontaminate import OP7_SQL, op7_query
 from rivulet.llm.embed_dedup import OP6_SQL, op6_query
 from rivulet.llm.html_extract import op5_query
 from rivulet.llm.lang_id import op3_query
@@ -35,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_reply_trees": OP2_SQL, "op4_minhash_dedup": OP4_SQL, "op6_pstable_vectors": OP6_SQL, "op8_anchor_repeats": OP8_SQL, "op9_url_filter": OP9_SQL}
+    return {"op2_reply_trees": OP2_SQL, "op4_minhash_dedup": OP4_SQL, "op6_pstable_vectors": OP6_SQL, "op7_template_leaks": OP7_SQL, "op8_anchor_repeats": OP8_SQL, "op9_url_filter": OP9_SQL}
