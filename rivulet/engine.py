@@ -270,10 +270,10 @@ class Engine:
         names = [c for c, _ in carried.values()]
         out = expand(Stream(frame, now.stream.count), tuples.op, k, {c: F.col(c) for c in names}, pieces=True)
         frame = with_nodes(out.frame, self.emitter(**{f"{c}_{i}": F.col(f"{c}_{i}") for c in names for i in range(k)}), {"_key": key})
-        pieces = [f"_v{i}" for i in range(k)]
-        best = frame.select("_key", SEQ, *pieces).orderBy(F.col("_key").desc() if up else F.col("_key").asc(), F.col(SEQ).asc()).limit(n)
+        pieces, places = [f"_v{i}" for i in range(k)], [f"_p{i}" for i in range(k)]
+        best = frame.select("_key", *places, *pieces).orderBy(F.col("_key").desc() if up else F.col("_key").asc(), *places).limit(n)
         count = None if out.count is None else min(n, out.count)
-        made = ranked(best.select("_key", SEQ, F.array(*pieces).alias(VALUE)), not up, count)
+        made = ranked(best.select("_key", F.array(*places).alias(SEQ), F.array(*pieces).alias(VALUE)), not up, count)
         return Typed(made, Type("array", size=k, inner=(now.type,)) if now.type else None)
 
     def folded(self, stream: Stream, s: Step) -> Typed:

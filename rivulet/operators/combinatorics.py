@@ -74,15 +74,15 @@ def expand(s: Stream, op: str, k: int, carried: dict[str, Column] | None = None,
 
     k = 0: one empty tuple, but for permutations_with_replacement none. k above the number of items: none, but for
     permutations_with_replacement. carried: columns computed once per item, before the tuples are formed, and passed on
-    as ``name_i`` for the i-th item. max_rows: ValueError beforehand if there would be more. pieces: the items stay in
-    columns ``_v0``, ``_v1``, ... for the caller to put together later.
+    as ``name_i`` for the i-th item. max_rows: ValueError beforehand if there would be more. pieces: items and positions
+    stay in columns ``_v0``, ``_p0``, ``_v1``, ... in place of SEQ and VALUE, for the caller to put together later.
     """
     spark, kind = s.spark, s.frame.schema[VALUE].dataType
     out_type = T.ArrayType(kind, False)
 
     def none() -> Stream:
-        parts = [F.lit(None).cast(kind).alias(f"_v{i}") for i in range(k)] if pieces else [F.lit(None).cast(out_type).alias(VALUE)]
-        empty = spark.range(0).select(F.col("id").alias(SEQ), *parts)
+        parts = [F.lit(None).cast(t).alias(f"{c}{i}") for i in range(k) for c, t in (("_v", kind), ("_p", "long"))]
+        empty = spark.range(0).select(*(parts if pieces else [F.col("id").alias(SEQ), F.lit(None).cast(out_type).alias(VALUE)]))
         for name, c in (carried or {}).items():
             what = s.frame.select(c.alias("x")).schema["x"].dataType
             empty = empty.withColumns({f"{name}_{i}": F.lit(None).cast(what) for i in range(k)})
@@ -120,7 +120,9 @@ def expand(s: Stream, op: str, k: int, carried: dict[str, Column] | None = None,
         if i == 1 and k > 2 and rows > SPREAD_ROWS:
             joined = joined.repartition(max(width, rows // SPREAD_ROWS) if rows // SPREAD_ROWS < n * n else n * n, "_p0", "_p1")
     positions = [F.col(f"_p{i}") for i in range(k)]
-    seq = place(op, n, k, positions) if max(rows, math.comb(n, k) * (k + 1)) < 1 << 62 else F.array(*positions)
     names = [f"{c}_{i}" for c in carried or {} for i in range(k)]
     parts = [F.col(f"_v{i}") for i in range(k)]
-    return Stream(joined.select(seq.alias(SEQ), *(parts if pieces else [F.array(*parts).alias(VALUE)]), *names), rows)
+    if pieces:
+        return Stream(joined.select(*parts, *positions, *names), rows)
+    seq = place(op, n, k, positions) if max(rows, math.comb(n, k) * (k + 1)) < 1 << 62 else F.array(*positions)
+    return Stream(joined.select(seq.alias(SEQ), F.array(*parts).alias(VALUE), *names), rows)
