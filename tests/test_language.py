@@ -197,6 +197,21 @@ def test_streaming_chain(spark, tmp_path):
         run_streaming("input.combinations(2).return", source)
 
 
+def test_command_line_runs_programs(spark, tmp_path, capsys, monkeypatch):
+    import io
+
+    from rivulet.cli import main
+
+    (tmp_path / "p").write_text("struct P { a: i32, b: i32 } fn f(x: i32) -> P { P { a: x, b: x * 2 } } range(1, 3).map(f).return")
+    assert main(["run", str(tmp_path / "p")]) == 0
+    assert capsys.readouterr().out == "a,b\n1,2\n2,4\n"
+    monkeypatch.setattr("sys.stdin", io.StringIO('range(0, 3).combinations(2).write_file("/dev/stdout", csv)'))
+    assert main([]) == 0
+    assert capsys.readouterr().out == "0,1\n0,2\n1,2\n"
+    (tmp_path / "bad").write_text("range(0, 3).map(nothing).return")
+    assert main(["run", str(tmp_path / "bad")]) == 1
+
+
 def test_command_line(tmp_path, capsys):
     from rivulet.cli import main
 
