@@ -115,7 +115,7 @@ def dispatch(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, block: int | None = None, group_bytes: int = 10 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, block: int | None = None, group_bytes: int = 6 << 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (spans of kept words: array of begin, end) for every row of docs.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. A word goes if a window of window words that covers it also starts in a document
