@@ -19,7 +19,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import WordHasher, connected_components, mix, small_batches, text_chunks, written
@@ -79,12 +79,15 @@ def crossings(blocks: DataFrame, percent: int, coordinates: int, min_matches: in
         else:
             raw = raw.cast(pa.large_binary())
             ends, data = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] // 4, np.frombuffer(raw.buffers()[2], np.uint32)
-        return np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())]), docs, parts, sizes, ends, data
+        prefix = s.field("prefix")
+        prefixes = prefix.offsets.to_numpy(), prefix.values.to_numpy()
+        return np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())]), docs, parts, sizes, ends, data, prefixes
 
     class Side:
         def __init__(self, column, k):
-            at, docs, parts, sizes, ends, data = column
+            at, docs, parts, sizes, ends, data, (self.prefix_ends, self.prefixes) = column
             i, j = int(at[k]), int(at[k + 1])
+            self.begin = i
             self.docs, self.parts, self.sizes = docs[i:j], parts[i:j], sizes[i:j]
             place = ends[i:j, None] + np.arange(coordinates)
             self.signature = data[place]
@@ -98,6 +101,9 @@ def crossings(blocks: DataFrame, percent: int, coordinates: int, min_matches: in
             last = low[np.maximum(first + self.held - 1, 0)].astype(np.int64) if len(low) else np.zeros(j - i, np.int64)
             self.last = np.where(self.whole, 1 << 32, last)
 
+        def prefix(self, r):
+            return set(self.prefixes[self.prefix_ends[self.begin + r] : self.prefix_ends[self.begin + r + 1]].tolist())
+
         def matrix(self, values):
             m = np.zeros((len(self.docs), len(values)), np.float32)
             at = np.minimum(np.searchsorted(values, self.low), len(values) - 1)
@@ -110,10 +116,12 @@ def crossings(blocks: DataFrame, percent: int, coordinates: int, min_matches: in
 
     def run(batches):
         p = percent / 100
+        flagged: set[int] = set()
         for batch in batches:
             found = [np.zeros(0 if signatures_only else (0, 2), np.int64)]
             scores = [np.zeros(0)]
             lefts, rights = unpacked(batch.column(0)), unpacked(batch.column(1))
+            keys = batch.column(3).to_pylist()
             for k, main in enumerate(batch.column(2).to_pylist()):
                 a, b = Side(lefts, k), Side(rights, k)
                 go = (a.parts[:, None] != b.parts[None]) & ((b.parts[None] == main) | (a.docs[:, None] < b.docs[None]))
@@ -144,17 +152,25 @@ def crossings(blocks: DataFrame, percent: int, coordinates: int, min_matches: in
                     order = np.lexsort((score, x))
                     order = order[np.append(x[order][1:] != x[order][:-1], True)] if len(order) else order
                     x, y, score = x[order], y[order], score[order]
+                # a pair that meets under several values counts under the smallest
+                once = np.array([min(a.prefix(i) & b.prefix(j)) == keys[k] for i, j in zip(x.tolist(), y.tolist(), strict=True)], bool)
+                x, y, score = x[once], y[once], score[once]
                 scores.append(score)
                 x, y = a.docs[x], b.docs[y]
                 found.append(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1))
             if signatures_only:
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], names=["doc"])
+                flagged.update(np.concatenate(found).astype(np.int64).tolist())
+                if len(flagged) > 500_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(flagged), pa.int64())], names=["doc"])
+                    flagged.clear()
                 continue
             out, first = np.unique(np.concatenate(found), axis=0, return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(np.concatenate(scores).astype(np.float64)[first])], names=["a", "b", "score"])
+        if flagged:
+            yield pa.RecordBatch.from_arrays([pa.array(list(flagged), pa.int64())], names=["doc"])
 
-    if signatures_only:
-        return blocks.mapInArrow(run, "doc long").distinct()
+    if signatures_only:  # fewer, longer tasks name a document less often
+        return blocks.coalesce(blocks.sparkSession.sparkContext.defaultParallelism * 4).mapInArrow(run, "doc long").distinct()
     return blocks.mapInArrow(run, "a long, b long, score double").groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
@@ -244,24 +260,32 @@ def linked(joined: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(connected_components(links), "components")
 
 
+def prefix_keys(min_matches: int) -> Column:
+    """The rarest values of a list: two lists with min_matches in common share one of them."""
+    return F.slice(F.col("posts.key"), F.lit(1), F.size("posts") - min_matches + 1)
+
+
 def meetings(lists: DataFrame, joined: DataFrame, min_matches: int) -> DataFrame:
-    """(key, main, block, doc, component, n) for every value that documents of several components share in their prefix.
+    """(key, main, parts, block, doc, component, n) for every value that documents of several components share in their prefix.
 
     main is the component of its smallest document; a block has about BLOCK documents, however many share the value.
     """
     members = lists.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    prefix = members.select("doc", "n", "component", F.explode(F.slice(F.col("posts.key"), F.lit(1), F.size("posts") - min_matches + 1)).alias("key"))
+    prefix = members.select("doc", "n", "component", F.explode(prefix_keys(min_matches)).alias("key"))
     mixed = prefix.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(F.struct("doc", "component")).alias("lead"), F.count("*").alias("g")).where("c0 <> c1")
-    mixed = mixed.select("key", F.col("lead.component").alias("main"), F.ceil(F.col("g") / BLOCK).alias("parts"))
-    return written(prefix.join(mixed, "key"), "meetings").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("parts"))).drop("parts")
+    # written, so that the join has no aggregate in its stage and adaptive execution may split a hot value
+    mixed = written(mixed.select("key", F.col("lead.component").alias("main"), F.ceil(F.col("g") / BLOCK).alias("parts")), "values")
+    return written(prefix.join(mixed, "key"), "meetings").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("parts")))
 
 
 def block_pairs(meeting: DataFrame, sketch: DataFrame) -> DataFrame:
     """Pairs of blocks (left, right, main): right blocks hold all documents of a value, left ones those outside its main component."""
-    rows = F.collect_list(F.struct("doc", "component", "n", "sketch"))
-    left = meeting.where("component <> main").join(sketch, "doc").groupBy("key", "block").agg(rows.alias("left"))
+    rows = F.collect_list(F.struct("doc", "component", "n", "sketch", "prefix"))
+    left = meeting.where("component <> main").join(sketch, "doc").groupBy("key", "block").agg(rows.alias("left"), F.first("parts").alias("parts"))
+    # each left block goes to every right block by the block's number, so a hot value is dealt over many tasks
+    left = left.select("key", "left", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block"))
     right = meeting.join(sketch, "doc").groupBy("key", "block").agg(rows.alias("right"), F.first("main").alias("main"))
-    return left.drop("block").join(right.drop("block"), "key").select("left", "right", "main")
+    return left.join(right, ["key", "block"]).select("left", "right", "main", "key")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = COORDINATES, min_matches: int = MIN_MATCHES) -> DataFrame:
@@ -293,11 +317,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     texts = candidates(docs, first.select(F.col("a").alias("doc")).union(first.select(F.col("b").alias("doc"))), words, coordinates)
     joined = linked(None, confirmed(first, texts, words, percent))
     meeting = meetings(lists, joined, min_matches)
-    apart = crossings(block_pairs(meeting, lists.select("doc", F.col("signature").alias("sketch"))), percent, coordinates, min_matches, signatures_only=True)
+    apart = crossings(block_pairs(meeting, lists.select("doc", F.col("signature").alias("sketch"), prefix_keys(min_matches).alias("prefix"))), percent, coordinates, min_matches, signatures_only=True)
     texts = candidates(docs, apart, words, coordinates)
     some = written(lists.join(texts.select("doc"), "doc"), "postings")
     for last in (False, True):
-        met = crossings(block_pairs(meetings(some, joined, min_matches), texts.select("doc", "sketch")), percent, coordinates, min_matches, best_only=not last)
+        met = crossings(block_pairs(meetings(some, joined, min_matches), texts.select("doc", "sketch").join(some.select("doc", prefix_keys(min_matches).alias("prefix")), "doc")), percent, coordinates, min_matches, best_only=not last)
         if not last:  # each document with its likeliest partner: merges what one link can merge
             ends = met.select(F.col("a").alias("x"), "a", "b", "score").union(met.select(F.col("b").alias("x"), "a", "b", "score"))
             met = ends.groupBy("x").agg(F.max(F.struct("score", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
