@@ -27,7 +27,7 @@ from rivulet.llm.common import WordHasher, connected_components, mix, small_batc
 COORDINATES = 40
 MIN_MATCHES = 20
 LOWEST = 384
-BLOCK = 256
+BLOCK = 512
 BROADCAST_IDS = 2_000_000  # 16 MB
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -66,7 +66,7 @@ def crossings(blocks: DataFrame, percent: int, coordinates: int, min_matches: in
 
     Documents of different components count the coordinates in which they agree, and the hashes that their lists of
     smallest ones share; between whole sets that is exact, otherwise an estimate from the hashes below both ends.
-    signatures_only: the sketches are signatures alone, and the result the documents (doc) that agree enough with any.
+    signatures_only: the sketches are signatures alone, cut to a byte a coordinate, and the result the documents (doc) that agree enough with any.
     best_only: of a pair of blocks, only the likeliest partner of each left document.
     """
 
@@ -74,8 +74,8 @@ def crossings(blocks: DataFrame, percent: int, coordinates: int, min_matches: in
         s = column.flatten()
         docs, parts, sizes = (s.field(c).to_numpy(zero_copy_only=False) for c in ("doc", "component", "n"))
         raw = s.field("sketch")
-        if signatures_only:  # an array of int, otherwise its bytes and more
-            ends, data = raw.offsets.to_numpy(), raw.values.to_numpy().view(np.uint32)
+        if signatures_only:  # a byte of each coordinate, otherwise all bytes and more
+            ends, data = raw.offsets.to_numpy(), raw.values.to_numpy()
         else:
             raw = raw.cast(pa.large_binary())
             ends, data = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] // 4, np.frombuffer(raw.buffers()[2], np.uint32)
@@ -94,7 +94,7 @@ def crossings(blocks: DataFrame, percent: int, coordinates: int, min_matches: in
             self.held = np.diff(ends[i : j + 1]) - coordinates
             owner = np.repeat(np.arange(j - i), self.held)
             first = np.cumsum(self.held) - self.held
-            low = data[(ends[i:j] + coordinates - first)[owner] + np.arange(len(owner))]
+            low = data[(ends[i:j] + coordinates - first)[owner] + np.arange(len(owner))].astype(np.uint32)
             self.keys = (owner.astype(np.uint64) << np.uint64(32)) | low
             self.first, self.owner, self.low = first, owner, low
             self.whole = self.held == self.sizes
@@ -137,8 +137,8 @@ def crossings(blocks: DataFrame, percent: int, coordinates: int, min_matches: in
                     continue
                 common = np.intersect1d(a.low, b.low)
                 same = np.zeros(go.shape, np.float32)
-                for c in range(0, len(common), 8192):
-                    same += a.matrix(common[c : c + 8192]) @ b.matrix(common[c : c + 8192]).T
+                for c in range(0, len(common), 4096):
+                    same += a.matrix(common[c : c + 4096]) @ b.matrix(common[c : c + 4096]).T
                 x, y = np.nonzero(go & (same >= (p - 0.3) * np.minimum(a.held[:, None], b.held[None])))
                 full = (a.signature[x] == b.signature[y]).sum(axis=1) >= min_matches
                 x, y = x[full], y[full]
@@ -317,7 +317,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     texts = candidates(docs, first.select(F.col("a").alias("doc")).union(first.select(F.col("b").alias("doc"))), words, coordinates)
     joined = linked(None, confirmed(first, texts, words, percent))
     meeting = meetings(lists, joined, min_matches)
-    apart = crossings(block_pairs(meeting, lists.select("doc", F.col("signature").alias("sketch"), prefix_keys(min_matches).alias("prefix"))), percent, coordinates, min_matches, signatures_only=True)
+    bytewise = F.transform("signature", lambda x: (x.bitwiseAND(F.lit(255)) - 128).cast("tinyint"))
+    apart = crossings(block_pairs(meeting, lists.select("doc", bytewise.alias("sketch"), F.array().cast("array<bigint>").alias("prefix"))), percent, coordinates, min_matches, signatures_only=True)
     texts = candidates(docs, apart, words, coordinates)
     some = written(lists.join(texts.select("doc"), "doc"), "postings")
     for last in (False, True):
