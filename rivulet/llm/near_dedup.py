@@ -292,7 +292,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     Links join documents with 100 * intersection >= percent * union; component_id is the smallest doc_id reachable.
-    A pair exactly at 80 % agrees in fewer than 20 of 40 coordinates with a probability of about 3e-6; more similar
+    A pair exactly at 80 % agrees in fewer than 20 of 40 coordinates with a probability of about 5e-6; more similar
     pairs, less. Null and wordless texts: empty set, linked with nothing, kept. Rows that share a doc_id count as one
     document; a null doc_id is not linked and has a null component, and its row is kept. An empty table gives no rows;
     other columns are ignored.
