@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Texts become templates: numbers, names and units turn into typed placeholders, everything else into lower-case words.
-Every window of seed template words of the benchmark is hash-joined with the documents' non-overlapping windows, so a
-leak of 2 * seed - 1 words or more meets it.  Where a window meets, document and item are laid side by side, template
+Every window of seed template words of the benchmark is hash-joined with every window of the documents, so a run of seed
+words is met wherever it stands.  Where a window meets, document and item are laid side by side, template
 words are compared one by one, and a placeholder only counts if its item value always stands for the same document
 value.  So a question with other numbers or names in it is found, and chance windows are not.
 """
@@ -43,10 +43,10 @@ def is_slot(word: Column) -> Column:
     return word.isin("<name>", "<num>", "<unit>")
 
 
-def windows(words: Column, seed: int, step: int) -> Column:
-    """(place, hash) of every step-th window of seed template words that holds at least three plain words, or seed if fewer."""
+def windows(words: Column, seed: int) -> Column:
+    """(place, hash) of every window of seed template words that holds at least three plain words, or seed if fewer."""
     size = F.size(words)
-    places = F.when(size >= seed, F.sequence(F.lit(1), size - seed + 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    places = F.when(size >= seed, F.sequence(F.lit(1), size - seed + 1)).otherwise(F.array().cast("array<int>"))
     plain = min(3, seed)
 
     def one(i):
@@ -70,9 +70,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, min_coverage: fl
     """
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), template_words(F.col("text")).alias("raw")).distinct()
     items = written(items.withColumn("item", F.transform("raw", canonical)), "items")
-    index = written(items.select("item_id", F.explode(windows(F.col("item"), seed, 1)).alias("w")).select("item_id", F.col("w.place").alias("at"), F.col("w.hash").alias("hash")), "windows")
+    index = written(items.select("item_id", F.explode(windows(F.col("item"), seed)).alias("w")).select("item_id", F.col("w.place").alias("at"), F.col("w.hash").alias("hash")), "windows")
     probes = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(template_words(F.col("text")), canonical).alias("t"))
-    probes = probes.select("doc_id", F.explode(windows(F.col("t"), seed, seed)).alias("w")).select("doc_id", F.col("w.place").alias("place"), F.col("w.hash").alias("hash"))
+    probes = probes.select("doc_id", F.explode(windows(F.col("t"), seed)).alias("w")).select("doc_id", F.col("w.place").alias("place"), F.col("w.hash").alias("hash"))
     small = index.count() <= max_broadcast_windows
     met = probes.join(F.broadcast(index) if small else index, "hash")
     hits = written(met.select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift")).distinct(), "hits")

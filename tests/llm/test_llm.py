@@ -273,6 +273,17 @@ def test_leaks_need_steady_slots(spark):
     assert found[0] == 1.0 and found.get(1, 0) < 0.7
 
 
+def test_leaks_at_every_place(spark):
+    short = "which planet orbits nearest"
+    items = [(n, " ".join((short + " our bright sun today").split()[:n])) for n in (5, 6, 8)]
+    long = "the old miller carried seven heavy sacks across narrow bridges before sunrise came again"
+    edited = " ".join("changed" if i % 6 == 5 else w for i, w in enumerate(long.split()))
+    benchmark = spark.createDataFrame([*items, (14, long)], "item_id long, text string")
+    texts = ["x " * before + text for before in range(5) for text in [*(t for _, t in items), edited]]
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(documents(spark, texts), benchmark).collect()}
+    assert {(i, (5, 6, 8, 14)[i % 4]) for i in range(len(texts))} <= found
+
+
 # ------------------------------------------------------------------------------------------------ 8 repeats
 
 
