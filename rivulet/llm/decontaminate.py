@@ -4,7 +4,8 @@ Texts become templates: numbers, names and units turn into typed placeholders, e
 Every window of seed template words of the benchmark is hash-joined with every window of the documents, so a run of seed
 words is met wherever it stands.  Where a window meets, document and item are laid side by side, template
 words are compared one by one, and a placeholder only counts if its item value always stands for the same document
-value.  So a question with other numbers or names in it is found, and chance windows are not.
+value.  So a question with other numbers or names in it is found, and chance windows are not.  Windows of placeholders
+are met like others; what only they meet must share plain words with the item, or a list of numbers would be a leak.
 """
 
 from __future__ import annotations
@@ -44,16 +45,14 @@ def is_slot(word: Column) -> Column:
 
 
 def windows(words: Column, seed: int) -> Column:
-    """(place, hash) of every window of seed template words that holds at least three plain words, or seed if fewer."""
+    """(place, hash) of every window of seed template words."""
     size = F.size(words)
     places = F.when(size >= seed, F.sequence(F.lit(1), size - seed + 1)).otherwise(F.array().cast("array<int>"))
-    plain = min(3, seed)
+    return F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(F.slice(words, i, F.lit(seed))).alias("hash")))
 
-    def one(i):
-        part = F.slice(words, i, F.lit(seed))
-        return F.when(F.size(F.filter(part, lambda w: ~is_slot(w))) >= plain, F.struct(i.alias("place"), F.xxhash64(part).alias("hash")))
 
-    return F.filter(F.transform(places, one), lambda x: x.isNotNull())
+def plain_words(words: Column) -> Column:
+    return F.size(F.filter(words, lambda w: ~is_slot(w)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, min_coverage: float = 0.5, min_run: int = 13, max_broadcast_windows: int = 2_000_000) -> DataFrame:
@@ -61,7 +60,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, min_coverage: fl
 
     doc_id, item_id, n_words (template words of the item), n_matched (those met in runs of three at least, in place),
     coverage, longest_run, n_slots_changed (placeholders whose value differs). A pair is reported if coverage reaches
-    min_coverage or a run has min_run words.
+    min_coverage or a run has min_run words. A pair that no window with three plain words meets must besides match three
+    plain words of the item (all, if it has fewer; an item of placeholders only, its own values).
 
     Null and empty texts and items leak nothing; rows with null ids are not reported; repeated rows count once; empty
     tables give no rows; other columns are ignored. An item of fewer than seed words is too short to be told.
@@ -70,18 +70,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, min_coverage: fl
     """
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), template_words(F.col("text")).alias("raw")).distinct()
     items = written(items.withColumn("item", F.transform("raw", canonical)), "items")
-    index = written(items.select("item_id", F.explode(windows(F.col("item"), seed)).alias("w")).select("item_id", F.col("w.place").alias("at"), F.col("w.hash").alias("hash")), "windows")
+    rich = plain_words(F.slice("item", F.col("w.place"), F.lit(seed))) >= min(3, seed)
+    index = written(items.select("item_id", "item", F.explode(windows(F.col("item"), seed)).alias("w")).select("item_id", F.col("w.place").alias("at"), F.col("w.hash").alias("hash"), rich.alias("rich")), "windows")
     probes = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(template_words(F.col("text")), canonical).alias("t"))
     probes = probes.select("doc_id", F.explode(windows(F.col("t"), seed)).alias("w")).select("doc_id", F.col("w.place").alias("place"), F.col("w.hash").alias("hash"))
     small = index.count() <= max_broadcast_windows
     met = probes.join(F.broadcast(index) if small else index, "hash")
-    hits = written(met.select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift")).distinct(), "hits")
+    shifts = met.groupBy("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift")).agg(F.max("rich").alias("rich"))
+    hits = written(shifts.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("shift", "rich")).alias("hits")), "hits")
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     side = hits.join(texts, "doc_id").join(F.broadcast(items) if small else items, "item_id")
     side = side.withColumn("words", template_words(F.col("text")))
+
     # item word i (from 1) lies against document word i + shift
-    side = side.withColumn("part", F.transform(F.sequence(F.lit(1), F.size("item")), lambda i: F.when((i + F.col("shift") >= 1) & (i + F.col("shift") <= F.size("words")), F.try_element_at("words", i + F.col("shift")))))
+    def laid(h):
+        part = F.transform(F.sequence(F.lit(1), F.size("item")), lambda i: F.when((i + h["shift"] >= 1) & (i + h["shift"] <= F.size("words")), F.try_element_at("words", i + h["shift"])))
+        return F.struct(h["rich"].alias("rich"), part.alias("part"))
+
+    side = side.select("doc_id", "item_id", "raw", "item", F.explode(F.transform("hits", laid)).alias("hit")).select("doc_id", "item_id", "raw", "item", "hit.rich", "hit.part")
     side = side.withColumn("template", F.transform("part", canonical))
 
     def met_at(i):
@@ -104,11 +111,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, min_coverage: fl
         return at(j) & ((at(j - 1) & (at(F.greatest(j - 2, F.lit(1))) & (j > 2) | at(j + 1))) | (at(j + 1) & at(j + 2)))
 
     side = side.withColumn("run", run).withColumn("same", F.concat(F.array(F.lit(False), F.lit(False)), F.col("same")))
-    places = F.filter(F.sequence(F.lit(1), F.size("item")), in_run)
+    places = F.transform(F.filter(F.sequence(F.lit(1), F.size("item")), in_run), lambda i: F.struct(i.alias("at"), (~is_slot(F.element_at("item", i))).alias("plain")))
     changed = F.size(F.filter(F.sequence(F.lit(1), F.size("item")), lambda i: at(i + 2) & is_slot(F.element_at("item", i)) & (F.element_at("part", i) != F.element_at("raw", i))))
-    found = side.select("doc_id", "item_id", F.size("item").cast("long").alias("n_words"), places.alias("places"), "run", changed.alias("changed"))
-    per = found.select("doc_id", "item_id", "n_words", "run", "changed", F.explode_outer("places").alias("p")).groupBy("doc_id", "item_id", "n_words")
-    out = per.agg(F.countDistinct("p").alias("n_matched"), F.max("run").cast("long").alias("longest_run"), F.max("changed").cast("long").alias("n_slots_changed"))
+    found = side.select("doc_id", "item_id", F.size("item").cast("long").alias("n_words"), plain_words(F.col("item")).alias("n_plain"), "rich", places.alias("places"), "run", changed.alias("changed"))
+    per = found.withColumn("p", F.explode_outer("places")).groupBy("doc_id", "item_id", "n_words", "n_plain")
+    own = F.max((F.col("changed") == 0) & (F.col("run") >= seed))
+    plain = F.countDistinct(F.when(F.col("p.plain"), F.col("p.at")))
+    out = per.agg(F.countDistinct("p.at").alias("n_matched"), F.max("run").cast("long").alias("longest_run"), F.max("changed").cast("long").alias("n_slots_changed"), F.max("rich").alias("rich"), own.alias("own"), plain.alias("plain"))
+    out = out.where(F.col("rich") | F.when(F.col("n_plain") > 0, F.col("plain") >= F.least(F.col("n_plain"), F.lit(3))).otherwise(F.col("own")))
     out = out.withColumn("coverage", F.col("n_matched") / F.col("n_words"))
     return out.where((F.col("coverage") >= min_coverage) | (F.col("longest_run") >= min_run)).select("doc_id", "item_id", "n_words", "n_matched", "coverage", "longest_run", "n_slots_changed")
 

@@ -284,6 +284,14 @@ def test_leaks_at_every_place(spark):
     assert {(i, (5, 6, 8, 14)[i % 4]) for i in range(len(texts))} <= found
 
 
+def test_leaks_of_items_full_of_slots(spark):
+    items = [(1, "add 3 kg and 4 kg and 5 kg to 6 liters"), (2, "what is 5 plus 3 minus 2 plus 7 times 9"), (3, "what is 11 12 13 14 15 16"), (4, "91 82 73 64 55 46")]
+    other = ["add 7 kg and 8 kg and 9 kg to 2 liters", "what is 4 plus 8 minus 1 plus 6 times 3", "what is 21 22 23 24 25 26", "21 22 23 24 25 26"]
+    texts = ["x " * before + text for before in range(5) for text in [*(t for _, t in items), *other]]
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(i, i % 4 + 1) for i in range(len(texts)) if i % 8 != 7}
+
+
 # ------------------------------------------------------------------------------------------------ 8 repeats
 
 
