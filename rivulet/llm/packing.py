@@ -69,7 +69,7 @@ def tokenised(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> Dat
         for b in small_batches(batches, 4 << 20):
             ids, sizes, points = [], [], np.zeros((b.num_rows, DIMS), np.float32)
             for k, text in enumerate(b.column(1).to_pylist()):
-                t = np.array(enc.encode_ordinary(text or "") + [0], np.uint16)
+                t = np.array(enc.encode(text or "", allowed_special="all") + [0], np.uint16)
                 points[k] = rays[t].mean(axis=0)
                 ids.append(t.tobytes())
                 sizes.append(len(t))

@@ -87,6 +87,18 @@ def test_packing_round_trip(spark):
     assert rows.sequence_id.nunique() <= total // 64 + -(-total // 2000) + 1
 
 
+def test_packing_ids_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    texts = ["Hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b  <|endoftext|>", "<|endoftext |> <|endoftext|"]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = {r["doc_id"]: r["ids"] for r in packing.pack(documents(spark, texts)).collect()}
+    assert rows == {i: tokenizer.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    assert rows[0] == [15496, 220, 50256, 995, 0]
+
+
 def test_hilbert_neighbours_are_adjacent():
     cells = np.array(list(itertools.product(range(8), repeat=3)))
     key = packing.hilbert_key(cells, 3)
