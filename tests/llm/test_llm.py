@@ -2,8 +2,10 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -228,6 +230,113 @@ def test_html_odd_pages(spark):
     assert max(r["n_chars"] for r in rows) == len("long words here\n") * 20000 - 1
 
 
+def plain_main_text(html):
+    """main_text written out: one sum per line for the curve, one walk per container for the region."""
+    page = html_extract.Lines()
+    page.read(html)
+    lines, up, kind = page.lines, page.parent, page.kind
+
+    def within(node, root):
+        while node and node != root:
+            node = up[node]
+        return node == root
+
+    own = []
+    for text, _, link, node, _, _ in lines:
+        own.append(page.weight[node] * (len(text) if page.article[node] else 0 if link > 0.6 * len(text) else max(1, len(text) - link)))
+    ratio = [min(o / max(1, x[1]), 100) for o, x in zip(own, lines, strict=True)]
+    curve = []
+    for x in lines:
+        near = [(r, math.exp(-0.5 * (x[5] - y[5]) ** 2)) for r, y in zip(ratio, lines, strict=True) if abs(x[5] - y[5]) <= 3]
+        curve.append(sum(r * w for r, w in near) / sum(w for _, w in near))
+    speaking = [c for c, o in zip(curve, own, strict=True) if o > 0]
+    if not speaking:
+        return "\n".join(x[0] for x in lines if page.weight[x[3]] > 0)
+    limit = min(0.5 * float(np.std(curve)), max(speaking))
+    good = [o > 0 and c >= limit for c, o in zip(curve, own, strict=True)]
+    size = lambda root: sum(len(x[0]) * (3 if page.article[x[3]] else 1) for x, ok in zip(lines, good, strict=True) if ok and within(x[3], root))
+    rest = lambda root: sum(1 for x, o in zip(lines, own, strict=True) if within(x[3], root) and (o == 0 or size(x[3]) == 0))
+    root, body = 0, ("", "html", "body")
+    while True:
+        children = [k for k in range(1, len(up)) if up[k] == root]
+        child = max(children, key=lambda k: (size(k), k), default=None)
+        if child is None or kind[child] not in html_extract.SECTIONS or size(child) < 0.8 * size(root):
+            break
+        if rest(root) == rest(child) and (page.article[root] or not page.article[child]) and kind[root] not in body:
+            break
+        root = child
+    wrapper = kind[root] in body or not any(ok and x[3] == root for x, ok in zip(lines, good, strict=True))
+
+    def stays(node):
+        while node != root:
+            if page.weight[node] == 0 or up[node] == root and wrapper and not size(node) and not page.article[node]:
+                return False
+            node = up[node]
+        return page.weight[root] > 0
+
+    inner = [i for i, x in enumerate(lines) if within(x[3], root)]
+    span = [i for i in inner if good[i]]
+    kept = [i for i in inner if stays(lines[i][3]) and (good[i] or kind[root] not in body or lines[i][3] != root or lines[i][4] or span[0] < i < span[-1])]
+    titled = any(lines[i][4] for i in inner if stays(lines[i][3]))
+    above = [i for i, x in enumerate(lines) if i < inner[0] and x[4] and x[3] != root and within(root, x[3]) and page.weight[x[3]] > 0 and (kind[x[3]] not in body or not titled)]
+    return "\n".join(lines[i][0] for i in above + kept)
+
+
+def rearranged(html, k):
+    """A given page without its names and semantic tags, or with other containers around its parts."""
+    if k % 3 == 1:
+        return re.sub(r"<(/?)(nav|article|footer)\b", r"<\1div", html).replace(' class="ad"', "")
+    if k % 3 == 2:
+        return html.replace("<article>", "<div id=wrap><h2>Above</h2><div class=share-bar>Share it</div><section>").replace("</article>", "<ul><li>in <a href=1>text</a></ul></section><p>after</p></div>")
+    return html
+
+
+def test_html_against_plain_version(spark, sf_dir):
+    pages = [r["html"] for r in read_table(spark, sf_dir, "pages").collect()]
+    found = [(html_extract.main_text(rearranged(h, k)), plain_main_text(rearranged(h, k))) for k, h in enumerate(pages)]
+    assert len(found) > 20 and all(a == b and a for a, b in found)
+
+
+def test_html_ratios_decide(spark, sf_dir):
+    pages = [r["html"] for r in read_table(spark, "/root/testdata/sf0.01", "pages").collect()]
+    whole = [html_extract.main_text(h) for h in pages]
+    assert all(a != html_extract.main_text(h, use_ratio=False) for a, h in zip(whole, pages, strict=True))
+    # without names and semantic tags the ratios find the same text on most pages
+    bare = [html_extract.main_text(rearranged(h, 1)) for h in pages]
+    assert sum(a == b for a, b in zip(whole, bare, strict=True)) > 0.85 * len(pages)
+    body = "<h1>Title</h1><p>" + "A long text of an article. " * 10 + "</p><p>short</p><ul><li><a href=3>a link in the text</a></ul>"
+    page = "<div><a href=1>Home</a> <a href=2>News</a></div><div>%s</div><div>Imprint <a href=4>and the contact</a></div>" % body
+    assert html_extract.main_text(page).split("\n")[0] == "Title" and html_extract.main_text(page).endswith("short\na link in the text")
+
+
+def test_html_names_count_whole():
+    inside = "<p class='share-price'>The share price rose.</p><div class='related-work'>Other work is old.</div><div class=platform-form>One form.</div>"
+    for box in ("article", "div"):
+        assert html_extract.main_text(f"<nav><a href=1>x</a></nav><{box}><h1>T</h1>{inside}<p>{'More words here. ' * 9}</p></{box}>").startswith("T\nThe share price rose.\nOther work is old.\nOne form.\nMore")
+    gone = "".join(f"<div class='{c}'><p>{'Not the article at all. ' * 30}</p></div>" for c in ("sidebar-left", "site-footer", "comments-area", "relatedPosts", "cookie_notice", "ad", "newsletter signup"))
+    assert html_extract.main_text(f"<div class=post-header><h1>T</h1></div>{gone}<div class=post><p>{'Words. ' * 20}</p></div>{gone}").endswith("Words. Words.")
+    assert "Not" not in html_extract.main_text(f"{gone}<div class=post><p>{'Words. ' * 20}</p></div>{gone}")
+    assert html_extract.main_text(f"{gone}<nav><a href=1>x</a></nav>") == ""
+
+
+@pytest.mark.parametrize("part", ["<![foo[ x ]]>", "<![", "<!x", "<!--", "<!-- >", "<a ", "<a x='", "<?", "</", "<div></p>", "<div><p>ab", "</div>", "<b><div><i></b>", "<li>", "<i><li>x", "<script>", "&", "<td></tr><table>"])
+def test_html_broken_pages_in_linear_time(part):
+    assert html_extract.main_text(part + "<p>hi there</p>").endswith("hi there") or part in ("<script>",)
+    n = (1 << 20) // len(part)
+    began = time.perf_counter()
+    html_extract.main_text(part * n)
+    html_extract.main_text("<b><div>" * (n // 8) + part * (n // 2) + "</b></p>" * (n // 8))
+    assert time.perf_counter() - began < 30
+
+
+def test_html_never_fails():
+    rng = random.Random(9)
+    parts = "<p> </p> <div> </div> <b> </b> <a </a> <!-- --> <![ ]]> <! <? < > & &amp; ' \" = / <script> </script> <table> <td> <article> <nav> </nav> word <li> <ul> </ul> <h1> <br> <hr> \x00 é".split(" ")
+    for _ in range(3000):
+        html = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 30)))
+        assert isinstance(html_extract.main_text(html), str)
+
+
 # ------------------------------------------------------------------------------------------------ 6 vectors
 
 
