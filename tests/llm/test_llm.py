@@ -502,6 +502,78 @@ def test_pii_method_adds_and_redacts(spark):
     assert pii.redact(clashing(docs), model).columns == clashing(docs).columns
 
 
+def test_pii_names_and_assigned_values(spark):
+    texts = [
+        "My name is Anna Kowalska and I live here.", "as Dr. Peter Hoffman said at noon", "signed, Maria Lopez", "they met James Smith, who lives near by", "a contact: Jürgen Weiß, today",
+        "the New York Public Library", "In The Beginning was it", "under the General Public License of that year", "The The The The", "on Monday March the third",
+        "password: hunter2 and", "his password is swordfish, they say", "password required", "uses utf8_general_ci and sha256_digest", "",
+    ]
+    known = [f'token = "{hashlib.sha1(bytes([i])).hexdigest()}" end' for i in range(40)] + [f"since {i + 1900}-{i + 1901} it was" for i in range(40)]
+    docs = clashing(documents(spark, texts + known))
+    models = pii.fit(docs)
+    found = {r["doc_id"]: [(s["kind"], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["spans"]] for r in pii.find_pii(docs, models).where(f"doc_id < {len(texts)}").collect()}
+    assert [found[i] for i in range(5)] == [[("name", n)] for n in ("Anna Kowalska", "Dr. Peter Hoffman", "Maria Lopez", "James Smith", "Jürgen Weiß")]
+    assert [found[i] for i in (5, 6, 7, 8, 9)] == [[]] * 5
+    assert found[10] == [("secret", "hunter2")] and found[11] == found[12] == found[13] == found[14] == []  # a word after password: as likely a word
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs, models).collect()}
+    assert clean[0] == "My name is <NAME> and I live here." and clean[10] == "password: <SECRET> and" and clean[5] == texts[5]
+
+
+def plain_em(votes, counts, rounds=60):
+    """estimate() written out for lists."""
+    post = [1 / (1 + math.exp(0.5 - 1.5 * sum(v))) for v in votes]
+    for _ in range(rounds):
+        right = []
+        for j in range(len(votes[0])):
+            good, cast = 8.0, 10.0
+            for v, p, n in zip(votes, post, counts, strict=True):
+                if v[j]:
+                    cast += n
+                    good += n * (p if v[j] > 0 else 1 - p)
+            right.append(max(good / cast, 0.5))
+        prior = min(0.3, (sum(p * n for p, n in zip(post, counts, strict=True)) + 1) / (sum(counts) + 3))
+        post = [1 / (1 + math.exp(-(math.log(prior / (1 - prior)) + sum(x * math.log(a / (1 - a)) for x, a in zip(v, right, strict=True))))) for v in votes]
+    return post, prior, right
+
+
+def simulated_votes(seed, rates, n=4000, share=0.25):
+    """Votes of labelers with the given accuracy and chance to vote, and the truth behind them."""
+    rng = random.Random(seed)
+    truth = [rng.random() < share for _ in range(n)]
+    return truth, [tuple(0 if rng.random() > cast else (1 if t == (rng.random() < right) else -1) for right, cast in rates) for t in truth]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pii_em_and_classifier(seed):
+    rates = [(0.97, 0.9), (0.95, 0.9), (0.6, 0.8), (0.6, 0.8), (0.6, 0.8), (0.9, 0.5), (0.5, 0.7)]
+    truth, cast = simulated_votes(seed, rates)
+    patterns = sorted(set(cast))
+    counts = [cast.count(p) for p in patterns]
+    post, prior, right = pii.estimate(np.array(patterns, float), np.array(counts, float))
+    slow = plain_em(patterns, counts)
+    assert np.allclose(post, slow[0]) and np.isclose(prior, slow[1]) and np.allclose(right, slow[2])
+    assert all(abs(a - b[0]) < 0.06 for a, b in zip(right, rates, strict=True)) and abs(prior - 0.25) < 0.03
+    model = pii.train(np.array(patterns, float), np.zeros((len(patterns), 0)), np.array(counts, float))
+    says = {p: bool(pii.features(np.array([p], float), np.zeros((1, 0)))[0] @ model.weights + model.bias > 0) for p in patterns}
+    over_majority = [p for p in patterns if says[p] != (sum(p) > 0)]
+    assert any(says[p] for p in over_majority) and any(not says[p] for p in over_majority)  # overturns a majority both ways
+    assert any(max(p) > 0 and not says[p] for p in patterns)  # and a single vote for a candidate
+    hits = lambda rule: sum(rule(p) == t for p, t in zip(cast, truth, strict=True)) / len(truth)
+    assert hits(says.get) > 0.95 and hits(says.get) > hits(lambda p: sum(p) > 0) + 0.03 and hits(says.get) > hits(lambda p: max(p) > 0) + 0.2
+
+
+def test_pii_classifier_overturns_votes_on_texts(spark):
+    """Assignments are mostly harmless here (settings), so a vote for what is assigned is worth little."""
+    texts = [f"set width = a{i:02d}b-{i:03d}" for i in range(60)] + [f"version = r{i:03d}-build" for i in range(60)] + [f'token = "{hashlib.sha1(bytes([i])).hexdigest()}" end' for i in range(20)] + ["lone = x9_left_over1"]
+    docs = documents(spark, texts)
+    model = pii.fit(docs)["secret"]
+    found = docs.select("doc_id", F.explode(pii.token_candidates(F.col("text"))).alias("c")).select("doc_id", F.array(*pii.secret_votes(F.col("c"))).alias("v"), (pii.score("secret", model, F.col("c")) > 0).alias("says")).collect()
+    assert model.accuracy[pii.SECRET_LABELERS.index("assignment")] < 0.6 and model.accuracy[pii.SECRET_LABELERS.index("known_format")] > 0.8
+    votes = {r["doc_id"]: (r["v"], r["says"]) for r in found}
+    assert all(votes[i][1] for i in range(120, 140))
+    assert max(votes[140][0]) == 1 and sum(votes[140][0]) > 0 and not votes[140][1]  # a vote for it and a majority, yet not reported
+
+
 def test_pii_main_path_is_native(spark, sf_dir):
     for name in ("op7_template_leaks", "op10_pii_votes"):
         plan = llm.queries()[name](spark, sf_dir)._jdf.queryExecution().toString()
