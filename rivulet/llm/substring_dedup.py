@@ -7,6 +7,8 @@ compared whole, the smallest document of each is found, and runs of repeated win
 
 Work is done per group of documents (a few MB of text, dealt by a hash), whose hashes travel sorted, without
 repetitions and packed, in buckets by value.  So a passage that very many documents hold costs one entry per group.
+A bucket takes the values of a fixed amount of text, whatever a group's size; a group sends a row to each bucket that it
+has values for, so never more rows than words.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import WordHasher, mix, text_chunks
+from rivulet.llm.common import WordHasher, mix, small_batches, text_chunks, written
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -42,7 +44,7 @@ def group_words(texts) -> tuple[np.ndarray, np.ndarray]:
 class Rolled:
     """Hashes of the rolling windows of a group's documents."""
 
-    def __init__(self, ids: np.ndarray, held: np.ndarray, texts, block: int, window: int):
+    def __init__(self, ids: np.ndarray, texts, block: int, window: int):
         words, ends = group_words(texts)
         n = len(words)
         self.ends, self.ids, self.block, self.window = ends, ids, block, window
@@ -50,8 +52,7 @@ class Rolled:
         doc = np.repeat(np.arange(len(ids)), self.sizes)
         self.place = np.arange(n) - ends[:-1][doc]
         left = self.sizes[doc] - self.place
-        usable = held[doc]
-        self.probing = np.flatnonzero(usable & (left >= block))
+        self.probing = np.flatnonzero(left >= block)
         self.doc = doc
         h = hasher()
         h._grow(n + 1)
@@ -59,7 +60,7 @@ class Rolled:
         at = self.probing
         self.short = np.zeros(n, np.uint64)
         self.short[at] = mix((prefix[at + block] - prefix[at]) * h.inverse[at])
-        self.windows = np.flatnonzero(usable & (left >= window))
+        self.windows = np.flatnonzero(left >= window)
         at = self.windows  # two overlapping blocks span the window
         self.long = np.zeros(n, np.uint64)
         self.long[at] = mix(mix((prefix[at + block] - prefix[at]) * h.inverse[at]) * np.uint64(0x9E3779B97F4A7C15) + mix((prefix[at + window] - prefix[at + window - block]) * h.inverse[at + window - block]) + (np.uint64(0) if window <= 2 * block else mix((prefix[at + window] - prefix[at]) * h.inverse[at])))
@@ -79,199 +80,277 @@ class Rolled:
         return s[first], np.logical_or.reduceat(aligned, first), np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first), order, np.cumsum(new) - 1
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Sorted distinct values as byte planes of their differences, which compress."""
-    d = np.diff(values, prepend=np.uint64(0)).astype("<u8")
-    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes()
+def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Seven bits a byte, low ones first, the last byte below 128: the bytes, and where each value ends."""
+    sizes = np.ones(len(values), np.int64)
+    for k in range(1, 10):
+        sizes += values >= np.uint64(1 << 7 * k)
+    ends = np.cumsum(sizes)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(int(sizes.max()) if len(sizes) else 0):
+        more = np.flatnonzero(sizes > k)
+        byte = (values[more] >> np.uint64(7 * k)) & np.uint64(127)
+        out[ends[more] - sizes[more] + k] = byte.astype(np.uint8) | ((sizes[more] > k + 1) * 128).astype(np.uint8)
+    return out, ends
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel())
+def from_varints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    last = np.flatnonzero(data < 128)
+    first = np.concatenate([last[:0], [0], last[:-1] + 1])[: len(last)]
+    sizes = last - first + 1
+    values = np.zeros(len(last), np.uint64)
+    for k in range(int(sizes.max()) if len(sizes) else 0):
+        more = np.flatnonzero(sizes > k)
+        values[more] |= (data[first[more] + k] & np.uint8(127)).astype(np.uint64) << np.uint64(7 * k)
+    return values, last + 1
 
 
-def planes(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def rows_of(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Bytes cut into binary values at the places ``at``."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def unplaned(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+def bytes_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column, and each row's bounds in them."""
+    sizes, data = [np.zeros(1, np.int64)], [np.zeros(0, np.uint8)]
+    for c in column.chunks:
+        if len(c):
+            o = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
+            sizes.append(np.diff(o))
+            data.append(np.frombuffer(c.buffers()[2], np.uint8)[o[0] : o[-1]] if o[-1] > o[0] else data[0])
+    return np.concatenate(data), np.cumsum(np.concatenate(sizes))
 
 
-def bits(flags: np.ndarray) -> bytes:
-    return np.packbits(flags).tobytes()
+def at_ends(ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], ends])[at]
 
 
-def unbits(raw: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+def packed(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Sorted values in rows cut at ``at``: the first of a row and the differences of the others."""
+    d = np.diff(values, prepend=np.uint64(0))
+    d[at[:-1]] = values[at[:-1]]
+    data, ends = varints(d)
+    return rows_of(data, at_ends(ends, at))
 
 
-def cuts(values: np.ndarray, buckets: int, width: int) -> np.ndarray:
-    """Where the sorted values of width bits pass from one of equal ranges to the next."""
-    edges = np.array([(k << width) // buckets for k in range(buckets)], np.uint64)
-    return np.concatenate([np.searchsorted(values, edges), [len(values)]])
+def unpacked(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows, and each row's bounds in them."""
+    data, cut = bytes_of(column)
+    d, ends = from_varints(data)
+    at = np.searchsorted(ends, cut, "right")
+    total = np.cumsum(d)
+    before = np.concatenate([total[:0], [np.uint64(0)], total])[at[:-1]]
+    return total - np.repeat(before, np.diff(at)), at
 
 
-def dispatch(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+def packed_ids(ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    data, ends = varints(((ids << 1) ^ (ids >> 63)).view(np.uint64))
+    return rows_of(data, at_ends(ends, at))
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, block: int | None = None, group_bytes: int = 6 << 20) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept (spans of kept words: array of begin, end) for every row of docs.
+def unpacked_ids(column: pa.ChunkedArray) -> np.ndarray:
+    z = from_varints(bytes_of(column)[0])[0]
+    return (z >> np.uint64(1)).view(np.int64) ^ -(z & np.uint64(1)).view(np.int64)
 
-    Words are ``[^\\x20\\x09-\\x0D]+``. A word goes if a window of window words that covers it also starts in a document
-    with a smaller doc_id; windows are judged on the input. Null text: no words. A null doc_id is neither smaller nor
-    larger than another: its row keeps all words. Rows that share a doc_id do not remove each other's words. An empty
-    table gives no rows; other columns are ignored.
 
-    block: words of an indexed block; at most half the window rounded up, which is the default. Repeats are told by
-    64-bit hashes (probes by 48 bits; a false hit only costs a comparison).
-    """
-    block = block or (window + 1) // 2
-    if not 0 < 2 * block - 1 <= window:
-        raise ValueError("a window must hold an aligned block wherever it starts")
-    spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-size // group_bytes))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups)
-    texts = base.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
+def packed_bits(flags: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Flags in rows cut at ``at``, each row in whole bytes."""
+    sizes = np.diff(at)
+    ends = np.concatenate([[0], np.cumsum((sizes + 7) // 8)])
+    wide = np.zeros(int(ends[-1]) * 8, bool)
+    wide[np.arange(len(flags)) + np.repeat(ends[:-1] * 8 - at[:-1], sizes)] = flags
+    return rows_of(np.packbits(wide), ends)
 
-    def rolled(table: pa.Table) -> Rolled:
-        ids = table.column("doc_id").combine_chunks()
-        held = np.asarray(ids.is_valid())
-        return Rolled(ids.fill_null(0).to_numpy(), held, table.column("text"), block, window)
 
-    def group_of(*tables) -> int:
-        return next(t.column("g")[0].as_py() for t in tables if t.num_rows)
+def cuts(values: np.ndarray, buckets: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets (equal ranges of values of width bits) that the sorted values fall into, and where each begins, with the end."""
+    bucket = ((values >> np.uint64(width - 32)) * np.uint64(buckets)) >> np.uint64(32)
+    new = np.ones(len(values), bool)
+    new[1:] = bucket[1:] != bucket[:-1]
+    first = np.flatnonzero(new)
+    return bucket[first].astype(np.int64), np.append(first, len(values))
+
+
+def equal_runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order of the values, where each run of equal ones begins in it, and its length."""
+    order = np.argsort(values, kind="stable")
+    s = values[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    first = np.flatnonzero(new)
+    return order, first, np.diff(np.append(first, len(s)))
+
+
+def table_of(schema: pa.Schema, *columns) -> pa.Table:
+    return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
 
-    probe_schema = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("aligned", pa.binary()), ("several", pa.binary())])
+def span_rows(words: list[bytes], mask: np.ndarray) -> tuple[int, str, list[dict]]:
+    """Removed words, digest of the kept ones, and their spans."""
+    n = int(mask.sum())
+    if not n:
+        return 0, hashlib.sha256(b" ".join(words)).hexdigest(), [{"begin": 0, "end": len(words)}] if words else []
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], mask, [True]])))
+    spans = [{"begin": int(i), "end": int(j)} for i, j in edge.reshape(-1, 2)]
+    return n, hashlib.sha256(b" ".join([x for s in spans for x in words[s["begin"] : s["end"]]])).hexdigest(), spans
+
+
+PROBE_SCHEMA = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("data", pa.binary())])
+FOUND_SCHEMA = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("data", pa.binary()), ("docs", pa.binary())])
+OUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), ("copies", pa.int64())])
+PROBE_TYPE, FOUND_TYPE = "bucket long, g long, data binary", "bucket long, g long, data binary, docs binary"
+OUT_TYPE = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept array<struct<begin:int,end:int>>, copies long"
+COPIES = 1_000_000  # of a repeated row, written by one task
+
+
+def untouched(docs: DataFrame) -> DataFrame:
+    """Rows of which nothing is removed."""
+
+    def run(batches):
+        for b in small_batches(batches):
+            rows = [((t or "").encode().split(), d) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            done = [span_rows(w, np.zeros(0, bool)) for w, _ in rows]
+            yield from table_of(OUT_SCHEMA, [d for _, d in rows], [len(w) for w, _ in rows], [x[0] for x in done], [x[1] for x in done], [x[2] for x in done], [1] * len(rows)).to_batches()
+
+    return docs.select("doc_id", "text").mapInArrow(run, OUT_TYPE)
+
+
+def grouped(texts: DataFrame, window: int, block: int, buckets: int) -> DataFrame:
+    """The result for texts (doc_id, text, copies, g), by groups g; a row's copies pass through."""
+
+    def rolled(table: pa.Table) -> Rolled:
+        ids = table.column("doc_id").combine_chunks().to_numpy()
+        return Rolled(ids, table.column("text"), block, window)
+
+    def group_of(table: pa.Table) -> int:
+        return table.column("g")[0].as_py()
 
     def probe(table: pa.Table) -> pa.Table:
         values, aligned, several, _, _ = rolled(table).probes()
-        at, g = cuts(values, buckets, 48), group_of(table)
-        return dispatch([(k, g, int(j - i), packed(values[i:j]), bits(aligned[i:j]), bits(several[i:j])) for k, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i], probe_schema)
-
-    live_schema = pa.schema([("g", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("docs", pa.binary())])
+        names, at = cuts(values, buckets, 48)
+        flagged = (values << np.uint64(2)) | (aligned.astype(np.uint64) << np.uint64(1)) | several.astype(np.uint64)
+        return table_of(PROBE_SCHEMA, names, np.full(len(names), group_of(table)), packed(flagged, at))
 
     def meet(table: pa.Table) -> pa.Table:
-        """Which values are an aligned block somewhere and occur in more than one group or document."""
-        rows = table.to_pylist()
-        if not rows:
-            return dispatch([], live_schema)
-        values = np.concatenate([unpacked(r["data"]) for r in rows])
-        aligned = np.concatenate([unbits(r["aligned"], r["n"]) for r in rows])
-        several = np.concatenate([unbits(r["several"], r["n"]) for r in rows])
-        order = np.argsort(values, kind="stable")
-        s = values[order]
-        new = np.ones(len(s), bool)
-        new[1:] = s[1:] != s[:-1]
-        first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(s)))
-        live = np.logical_or.reduceat(aligned[order], first) & ((count > 1) | np.logical_or.reduceat(several[order], first))
-        back = np.empty(len(s), bool)
-        back[order] = np.repeat(live, count)
-        out, at = [], 0
-        for r in rows:
-            mine = back[at : at + r["n"]]
-            at += r["n"]
-            if mine.any():
-                out.append((r["g"], r["bucket"], 0, r["n"], bits(mine), b""))
-        return dispatch(out, live_schema)
+        """For each group, which of its values are an aligned block somewhere and occur in more than one group or document."""
+        flagged, at = unpacked(table.column("data"))
+        order, first, count = equal_runs(flagged >> np.uint64(2))
+        if not len(first):
+            return FOUND_SCHEMA.empty_table()
+        aligned, several = (flagged[order] & np.uint64(2)) > 0, (flagged[order] & np.uint64(1)) > 0
+        live = np.empty(len(order), bool)
+        live[order] = np.repeat(np.logical_or.reduceat(aligned, first) & ((count > 1) | np.logical_or.reduceat(several, first)), count)
+        some = np.flatnonzero(np.add.reduceat(live, at[:-1]))  # rows are never empty
+        data = packed_bits(live, at).take(pa.array(some))
+        return table_of(FOUND_SCHEMA, table.column("bucket").to_numpy()[some], table.column("g").to_numpy()[some], data, [b""] * len(some))
 
     def extend(table: pa.Table, found: pa.Table) -> pa.Table:
         """The windows around hits: distinct hashes and the smallest document of each."""
         if not table.num_rows or not found.num_rows:
-            return dispatch([], live_schema)
-        r, g = rolled(table), group_of(table)
+            return FOUND_SCHEMA.empty_table()
+        r = rolled(table)
         values, _, _, order, owner = r.probes()
-        at = cuts(values, buckets, 48)
+        names, at = cuts(values, buckets, 48)
         live = np.zeros(len(values), bool)
-        for row in found.to_pylist():
-            k = row["bucket"]
-            live[at[k] : at[k + 1]] = unbits(row["data"], row["n"])
+        data, cut = bytes_of(found.column("data"))
+        for k, i, j in zip(np.searchsorted(names, found.column("bucket").to_numpy()).tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            live[at[k] : at[k + 1]] = np.unpackbits(data[i:j], count=int(at[k + 1] - at[k]))
         hit = np.zeros(len(r.doc) + 1, np.int64)
         hit[r.probing[order[live[owner]]] + 1] = 1
         hits = np.cumsum(hit)
         w = r.windows[hits[r.windows + window - block + 1] > hits[r.windows]]
         h, ids = r.long[w], r.ids[r.doc[w]]
-        values, first = np.unique(h, return_index=True)
-        if not len(values):
-            return dispatch([], live_schema)
-        order = np.argsort(h, kind="stable")
-        starts = np.searchsorted(h[order], values)
-        least = np.minimum.reduceat(ids[order], starts)
-        at = cuts(values, buckets, 64)
-        return dispatch([(g, k, 1, int(j - i), packed(values[i:j]), planes(least[i:j])) for k, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i], live_schema)
+        order, first, _ = equal_runs(h)
+        if not len(first):
+            return FOUND_SCHEMA.empty_table()
+        least = np.minimum.reduceat(ids[order], first)
+        values = h[order[first]]
+        names, at = cuts(values, buckets, 64)
+        return table_of(FOUND_SCHEMA, names, np.full(len(names), group_of(table)), packed(values, at), packed_ids(least, at))
 
     def smallest(table: pa.Table) -> pa.Table:
         """For each group, the windows that a smaller document of another group holds."""
-        rows = table.to_pylist()
-        if not rows:
-            return dispatch([], live_schema)
-        values = np.concatenate([unpacked(r["data"]) for r in rows])
-        docs_ = np.concatenate([unplaned(r["docs"]) for r in rows])
-        order = np.argsort(values, kind="stable")
-        s = values[order]
-        new = np.ones(len(s), bool)
-        new[1:] = s[1:] != s[:-1]
-        first = np.flatnonzero(new)
-        least = np.repeat(np.minimum.reduceat(docs_[order], first), np.diff(np.append(first, len(s))))
-        later = np.empty(len(s), bool)
-        later[order] = least < docs_[order]
-        out, at = [], 0
-        for r in rows:
-            mine = later[at : at + r["n"]]
-            if mine.any():
-                out.append((r["g"], r["bucket"], 2, int(mine.sum()), packed(values[at : at + r["n"]][mine]), b""))
-            at += r["n"]
-        return dispatch(out, live_schema)
-
-    span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-    out_schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", span)])
+        values, at = unpacked(table.column("data"))
+        ids = unpacked_ids(table.column("docs"))
+        order, first, count = equal_runs(values)
+        if not len(first):
+            return FOUND_SCHEMA.empty_table()
+        later = np.empty(len(values), bool)
+        later[order] = np.repeat(np.minimum.reduceat(ids[order], first), count) < ids[order]
+        mine = np.add.reduceat(later.astype(np.int64), at[:-1])
+        some = np.flatnonzero(mine)
+        data = packed(values[later], np.concatenate([[0], np.cumsum(mine[some])]))
+        return table_of(FOUND_SCHEMA, table.column("bucket").to_numpy()[some], table.column("g").to_numpy()[some], data, [b""] * len(some))
 
     def finish(table: pa.Table, found: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return dispatch([], out_schema)
+            return OUT_SCHEMA.empty_table()
         r = rolled(table)
         w = r.windows
         h, ids = r.long[w], r.ids[r.doc[w]]
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        new = np.ones(len(s), bool)
-        new[1:] = s[1:] != s[:-1]
-        first = np.flatnonzero(new)
+        order, first, count = equal_runs(h)
         gone = np.zeros(len(r.doc) + window + 1, np.int32)
         if len(first):
-            count = np.diff(np.append(first, len(s)))
             flagged = np.zeros(len(first), bool)
-            elsewhere = [unpacked(x) for x in found.column("data").to_pylist()]
-            if elsewhere:
-                flagged[np.searchsorted(s[first], np.concatenate(elsewhere))] = True
+            flagged[np.searchsorted(h[order[first]], unpacked(found.column("data"))[0])] = True
             least = np.repeat(np.minimum.reduceat(ids[order], first), count)
             covered = w[order[np.repeat(flagged, count) | (least < ids[order])]]
             gone[covered] += 1
             np.subtract.at(gone, covered + window, 1)
         removed = np.cumsum(gone)[: len(r.doc)] > 0
-        rows = []
-        for k, (doc, text) in enumerate(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True)):
-            words = (text or "").encode().split()
-            mask = removed[r.ends[k] : r.ends[k + 1]]
-            n = int(mask.sum())
-            if n:
-                edge = np.flatnonzero(np.diff(np.concatenate([[True], mask, [True]])))
-                spans = [{"begin": int(i), "end": int(j)} for i, j in edge.reshape(-1, 2)]
-                kept = [x for s_ in spans for x in words[s_["begin"] : s_["end"]]]
-            else:
-                kept, spans = words, [{"begin": 0, "end": len(words)}] if words else []
-            rows.append((doc, len(words), n, hashlib.sha256(b" ".join(kept)).hexdigest(), spans))
-        return dispatch(rows, out_schema)
-
-    live_type = "g long, bucket long, kind long, n long, data binary, docs binary"
-    probes = texts.groupBy("g").applyInArrow(probe, "bucket long, g long, n long, data binary, aligned binary, several binary")
-    hits = probes.groupBy("bucket").applyInArrow(meet, live_type)
-    windows = texts.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(extend, live_type)
-    earlier = windows.groupBy("bucket").applyInArrow(smallest, live_type)
-    return texts.groupBy("g").cogroup(earlier.groupBy("g")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept array<struct<begin:int,end:int>>")
+        done = [span_rows((t or "").encode().split(), removed[i:j]) for t, i, j in zip(table.column("text").to_pylist(), r.ends[:-1].tolist(), r.ends[1:].tolist(), strict=True)]
+        return table_of(OUT_SCHEMA, r.ids, r.sizes, [x[0] for x in done], [x[1] for x in done], [x[2] for x in done], table.column("copies").combine_chunks())
+
+    probes = texts.groupBy("g").applyInArrow(probe, PROBE_TYPE)
+    hits = probes.groupBy("bucket").applyInArrow(meet, FOUND_TYPE)
+    windows = texts.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(extend, FOUND_TYPE)
+    earlier = windows.groupBy("bucket").applyInArrow(smallest, FOUND_TYPE)
+    return texts.groupBy("g").cogroup(earlier.groupBy("g")).applyInArrow(finish, OUT_TYPE)
+
+
+def remove_repeats(docs: DataFrame, window: int = 50, block: int | None = None, group_bytes: int = 6 << 20, bucket_bytes: int = 24 << 20) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, kept (spans of kept words: array of begin, end) for every row of docs.
+
+    Words are ``[^\\x20\\x09-\\x0D]+``. A word goes if a window of window words that covers it also starts in a document
+    with a smaller doc_id; windows are judged on the input. Null text: no words. A null doc_id is neither smaller nor
+    larger than another: its row keeps all words. Rows that share a doc_id do not remove each other's words; where text
+    and doc_id are the same, however often, the text is worked on once. An empty table gives no rows; other columns are
+    ignored.
+
+    block: words of an indexed block; at most half the window rounded up, which is the default. bucket_bytes: text whose
+    values one bucket takes. Repeats are told by 64-bit hashes (probes by 48 bits; a false hit only costs a comparison).
+    """
+    block = block or (window + 1) // 2
+    if not 0 < 2 * block - 1 <= window:
+        raise ValueError("a window must hold an aligned block wherever it starts")
+    spark = docs.sparkSession
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    length = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("length")
+    keyed = base.select("doc_id", "text", length, F.xxhash64("text", F.col("text").isNull()).alias("hash"))
+    per = keyed.groupBy("doc_id", "length", "hash").count()
+    none = F.col("doc_id").isNull()
+    size, most, nulls = per.agg(F.sum(F.when(~none, F.col("length"))), F.max(F.when(~none, F.col("count"))), F.count(F.when(none, 1))).first()
+    texts = base.where(~none).select("doc_id", "text", F.lit(1).cast("long").alias("copies"))
+    again = (most or 0) > 1
+    if again:  # rows that occur several times count once here and are multiplied at the end
+        repeated = written(per.where(~none & (F.col("count") > 1)), "repeated")
+        on = ["doc_id", "length", "hash"]
+        once = keyed.where(~none).join(repeated, on, "left_anti").select("doc_id", "text", F.lit(1).cast("long").alias("copies"))
+        first = keyed.where(~none).join(repeated, on).groupBy(*on).agg(F.first("text").alias("text"), F.first("count").alias("copies"))
+        texts = written(once.unionByName(first.select("doc_id", "text", "copies")), "texts")
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0]
+    groups = max(1, -(-(size or 0) // group_bytes))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // bucket_bytes))
+    out = grouped(texts.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))), window, block, buckets)
+    if again:
+        part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))
+        parts = out.where("copies > 1").withColumn("part", part).repartition(max(1, buckets))
+        some = F.least(F.col("copies") - F.col("part") * COPIES, F.lit(COPIES))
+        many = parts.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), some)))
+        out = out.where("copies = 1").unionByName(many.drop("part", "one"))
+    if nulls:
+        out = out.unionByName(untouched(base.where(none)))
+    return out.drop("copies")
 
 
 def op8_query(docs: DataFrame) -> DataFrame:

@@ -7,9 +7,11 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -448,6 +450,46 @@ def test_repeats_of_one_id_and_of_none(spark):
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in substring_dedup.remove_repeats(rows).collect()) == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 60)]
 
 
+def test_repeats_in_many_groups(spark, monkeypatch):
+    """Buckets follow the text, not the groups, so a group's rows do not grow with the number of groups."""
+    rng = random.Random(2)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(5, 60))) + (f" u{i} " + passage if i % 7 == 0 else "") for i in range(1500)]
+    used, grouped = [], substring_dedup.grouped
+
+    def spy(texts, window, block, buckets):
+        used.append((buckets, texts.select("g").distinct().count()))
+        return grouped(texts, window, block, buckets)
+
+    monkeypatch.setattr(substring_dedup, "grouped", spy)
+    results = [{r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(documents(spark, texts), 50, group_bytes=size).collect()} for size in (300, 1 << 20)]
+    assert results[0] == results[1] and sum(n for n, _ in results[0].values()) == 60 * (len(range(0, 1500, 7)) - 1)
+    assert used[0][0] == used[1][0] == int(spark.conf.get("spark.sql.shuffle.partitions")) and used[0][1] > 500 and used[1][1] == 1
+
+
+def test_repeats_packing():
+    rng = np.random.default_rng(4)
+    for n, buckets in ((0, 3), (1, 7), (5000, 16), (5000, 100_000)):
+        values = np.unique(np.concatenate([rng.integers(0, 1 << 64, n, dtype=np.uint64), np.array([0, (1 << 64) - 1] if n else [], np.uint64)]))
+        names, at = substring_dedup.cuts(values, buckets, 64)
+        assert len(names) <= min(buckets, len(values)) and (np.diff(names) > 0).all() and (names < buckets).all()
+        back, rows = substring_dedup.unpacked(pa.chunked_array([substring_dedup.packed(values, at)]))
+        assert (back == values).all() and (rows == at).all()
+        ids = rng.integers(-(1 << 62), 1 << 62, len(values))
+        assert (substring_dedup.unpacked_ids(pa.chunked_array([substring_dedup.packed_ids(ids, at)])) == ids).all()
+        flags = rng.random(len(values)) < 0.3
+        bits, cut = substring_dedup.bytes_of(pa.chunked_array([substring_dedup.packed_bits(flags, at)]))
+        assert all((np.unpackbits(bits[i:j], count=int(b - a)) == flags[a:b]).all() for i, j, a, b in zip(cut[:-1], cut[1:], at[:-1], at[1:], strict=True))
+
+
+def test_repeats_of_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "COPIES", 70)
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, text)] * 1000 + [(5, "other " + text)] * 3 + [(6, text)] * 210 + [(7, None)] * 5 + [(None, text)] * 40 + [(None, None)] * 2 + [(9, "once")]
+    found = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(clashing(spark.createDataFrame(rows, "doc_id long, text string"))).collect())
+    assert found == {(5, 60, 0): 1000, (5, 61, 0): 3, (6, 60, 60): 210, (7, 0, 0): 5, (None, 60, 0): 40, (None, 0, 0): 2, (9, 1, 0): 1}
+
+
 # ------------------------------------------------------------------------------------------------ 9 URLs
 
 
