@@ -415,6 +415,56 @@ def test_leaks_of_items_full_of_slots(spark):
     assert found == {(i, i % 4 + 1) for i in range(len(texts)) if i % 8 != 7}
 
 
+def full_comparison(texts, items):
+    """Pairs whose matching runs of three words, at whatever shift, cover half of the item or reach 13 words."""
+    found = {}
+    for d, t in enumerate(texts):
+        for i, item in items:
+            covered, longest = set(), 0
+            for shift in range(-len(item), len(t)):
+                run = []
+                for j in range(len(item) + 1):
+                    if j < len(item) and 0 <= j + shift < len(t) and t[j + shift] == item[j]:
+                        run.append(j)
+                    else:
+                        covered.update(run if len(run) >= 3 else [])
+                        longest, run = max(longest, len(run)), []
+            if 2 * len(covered) >= len(item) or longest >= 13:
+                found[d, i] = len(covered) / len(item)
+    return found
+
+
+def test_leaks_recall(spark):
+    """Against every shift of every pair: edited copies whose coverage is anywhere from one half up."""
+    rng = random.Random(11)
+    vocabulary = [a + b + c for a in "bdfglmnprst" for b in "aeiou" for c in "klmnrst"]
+    items = [(i, [rng.choice(vocabulary) for _ in range(rng.choice([8, 12, 20, 40]))]) for i in range(12)]
+    texts = []
+    for i, item in items:
+        for _ in range(14):
+            rate, out = rng.choice([0.05, 0.1, 0.15, 0.2, 0.25]), []
+            for w in item:
+                x = rng.random()
+                out += [rng.choice(vocabulary)] if x < rate / 2 else [w, rng.choice(vocabulary)] if x < 0.75 * rate else [] if x < rate else [w]
+            texts.append([rng.choice(vocabulary) for _ in range(rng.randrange(9))] + out + [rng.choice(vocabulary) for _ in range(5)])
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(documents(spark, [" ".join(t) for t in texts]), benchmark).collect()}
+    full = full_comparison(texts, items)
+    assert len(full) > 100 and found <= set(full)
+    assert len(found & set(full)) >= 0.9 * len(full)  # 151 of 159
+    low = {k for k, c in full.items() if c < 0.7}
+    assert len(low) > 15 and len(found & low) >= 0.7 * len(low)  # 16 of 22: the others have no run of five words
+    high = set(full) - low
+    assert len(found & high) >= 0.98 * len(high)
+
+
+def test_leaks_of_repeated_ids(spark):
+    """Rows that share a doc_id count as one document, also where one of them is too short for the hit of another."""
+    docs = spark.createDataFrame([(1, "x " * 40 + ITEM), (1, "short"), (1, ITEM), (1, ITEM), (2, None)], "doc_id long, text string")
+    found = decontaminate.leaks(docs, spark.createDataFrame([(1, ITEM), (1, ITEM)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["coverage"]) for r in found] == [(1, 1.0)]
+
+
 # ------------------------------------------------------------------------------------------------ 8 repeats
 
 
