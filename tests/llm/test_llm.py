@@ -365,6 +365,69 @@ def test_vectors_against_all_pairs(spark):
     assert all(found[i]["n_links"] == 0 and found[i]["kept"] for i in (1000, 1001, 1002, 1003, 1006, 1007))
 
 
+def brute_links(rows, threshold=0.93):
+    """Links per id and components of rows (id, vector, label), all usable and distinct ids."""
+    links, edges = {i: 0 for i, _, _ in rows}, []
+    x = np.array([v for _, v, _ in rows], float)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([c for _, _, c in rows])
+    near = (x @ x.T >= threshold) & (label[:, None] == label)
+    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        links[rows[i][0]] += 1
+        links[rows[j][0]] += 1
+        edges.append((rows[i][0], rows[j][0]))
+    root = {i: i for i in links}
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {i: (n, find(i)) for i, n in links.items()}
+
+
+@pytest.mark.parametrize("block", [32, 512])
+def test_vectors_of_large_groups(spark, monkeypatch, block):
+    """One group far larger than a block, whose members are not all near each other, beside many unrelated vectors."""
+    monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    monkeypatch.setattr(embed_dedup, "SMALL", 6)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=16)
+    rows = [(i, [float(x) for x in base + rng.normal(size=16) * (0.05 if i % 3 else 0.3)], 1) for i in range(700)]
+    rows += [(i, [float(x) for x in rng.normal(size=16)], i % 2) for i in range(1000, 1400)]
+    rng.shuffle(rows)
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_vectors(spark.createDataFrame([(int(i), list(v), int(c)) for i, v, c in rows], "vec_id long, embedding array<double>, label int")).collect()}
+    expected = brute_links(rows)
+    assert max(n for n, _ in expected.values()) > 400
+    assert sum(found[i] != e for i, e in expected.items()) <= 0.002 * len(rows)
+
+
+def test_vectors_of_any_scale(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 4.8e199]), (3, [1e-200, 1e-201]), (4, [5e-324, 0.0]), (5, [-1e200, 0.0]), (5, [-1e200, 0.0]), (6, [1.0, 0.05])]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_vectors(spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, label string")).collect()}
+    assert found == brute_links([(i, v, 0) for i, v in dict(rows).items()]) and found[5] == (0, 5) and found[1][0] == 3
+
+
+def test_vectors_recall_at_the_threshold(spark):
+    """Pairs at 0.93 to 0.94, where buckets are missed most easily, among unrelated vectors."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(600):
+        x, y = rng.normal(size=(2, 48))
+        x /= np.linalg.norm(x)
+        y -= (y @ x) * x
+        c = rng.uniform(0.9301, 0.94)
+        for v in (x, c * x + math.sqrt(1 - c * c) * y / np.linalg.norm(y)):
+            rows.append((len(rows), [float(t) for t in v], 0))
+    found = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert sum(found.values()) >= 0.99 * len(rows)
+
+
 # ------------------------------------------------------------------------------------------------ 7 leaks
 
 
