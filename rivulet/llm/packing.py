@@ -3,6 +3,7 @@
 A document is tokenised; the hashed vector of its tokens is projected to DIMS dimensions by fixed random directions,
 and the point's place on a Hilbert curve is its key.  A range sort by (key, doc_id) puts alike documents next to each
 other, and every partition of it fills sequences of max_tokens with neighbouring documents, cut where a sequence ends.
+The ranges hold equal numbers of tokens, not of documents; a cell of the curve with more than that is dealt over several.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import small_batches, written
+from rivulet.llm.common import discard, small_batches, written
 from rivulet.llm.tokens import default_vocabulary, encoding
 
 DIMS, BITS = 3, 16
@@ -61,11 +62,14 @@ def curve_cells(points: np.ndarray) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
-    """doc_id, key, n (tokens with the closing id 0), ids (unsigned 16-bit, little-endian). Null text: as empty."""
+    """doc_id, key, n (tokens with the closing id 0), ids (unsigned 16-bit, little-endian), draw (uniform in [0, 1)). Null text: as empty."""
     path, pattern = vocabulary or default_vocabulary()
 
     def run(batches):
+        from pyspark import TaskContext
+
         enc, rays = encoding(path, pattern), directions()
+        rng = np.random.default_rng(TaskContext.get().partitionId() if TaskContext.get() else 0)
         for b in small_batches(batches, 4 << 20):
             ids, sizes, points = [], [], np.zeros((b.num_rows, DIMS), np.float32)
             for k, text in enumerate(b.column(1).to_pylist()):
@@ -74,11 +78,46 @@ def tokenised(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> Dat
                 ids.append(t.tobytes())
                 sizes.append(len(t))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(hilbert_key(curve_cells(points)), pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
-                names=["doc_id", "key", "n", "ids"],
+                [b.column(0), pa.array(hilbert_key(curve_cells(points)), pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(rng.random(b.num_rows))],
+                names=["doc_id", "key", "n", "ids", "draw"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key long, n long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key long, n long, ids binary, draw double")
+
+
+def token_ranges(tokens: DataFrame, partition_tokens: int, total: int) -> Column:
+    """The partition of a row of tokens (key, n, draw): ranges of the curve with about partition_tokens tokens each.
+
+    Tokens are counted per cell (the upper 32 of 48 bits of the key), and running totals taken within each of the 65,536
+    upper cells, whose own totals go through the driver. Of the cells, only those in which a range ends reach it, so one
+    or two per partition; a row of such a cell goes by its draw to one of the ranges that the cell lies in.
+    """
+    cells = written(tokens.groupBy(F.shiftright("key", 16).alias("cell")).agg(F.sum("n").alias("w")), "cells")
+    upper = F.shiftright("cell", 16)
+    before, offsets = 0, []
+    for r in cells.groupBy(upper.alias("top")).agg(F.sum("w").alias("w")).orderBy("top").collect():
+        offsets.append((r["top"], before))
+        before += r["w"]
+    tops = tokens.sparkSession.createDataFrame(offsets or [(0, 0)], "top long, offset long")
+    running = F.sum("w").over(Window.partitionBy("top").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = cells.withColumn("top", upper).withColumn("to", running).join(F.broadcast(tops), "top").select("cell", "w", (F.col("to") + F.col("offset") - F.col("w")).alias("at"))
+    part = lambda c: F.floor(c / partition_tokens)
+    ends = placed.where(part(F.col("at")) != part(F.col("at") + F.col("w"))).orderBy("cell").collect()
+    discard(cells)
+    cell, at, width = (np.array([r[c] for r in ends], np.int64) for c in ("cell", "at", "w"))
+    last = max(0, -(-total // partition_tokens) - 1)
+
+    @F.arrow_udf("int")
+    def of(keys: pa.Array, draws: pa.Array) -> pa.Array:
+        c = keys.to_numpy() >> 16
+        if not len(cell):
+            return pa.array(np.zeros(len(c), np.int32))
+        i = np.searchsorted(cell, c, "right") - 1  # the last cell not after c in which a range ends
+        inside = cell[np.maximum(i, 0)] == c
+        to = at[np.maximum(i, 0)] + width[np.maximum(i, 0)] * np.where(inside, draws.to_numpy(), 1.0)
+        return pa.array(np.where(i < 0, 0, np.minimum(to // partition_tokens, last)).astype(np.int32))
+
+    return of("key", "draw")
 
 
 def pack(docs: DataFrame, max_tokens: int = 1024, vocabulary: tuple[str, str] | None = None, partition_tokens: int = 6_000_000, with_ids: bool = True) -> DataFrame:
@@ -89,10 +128,10 @@ def pack(docs: DataFrame, max_tokens: int = 1024, vocabulary: tuple[str, str] |
 
     Every token lies in exactly one piece. Only the last sequence of a partition (about partition_tokens) is short of
     max_tokens, and that is padded. Null text is empty: one closing id. Repeated rows and null ids are packed like
-    others; an empty table gives no rows; other columns are ignored. Ties on the curve are ordered by doc_id.
+    others; an empty table gives no rows; other columns are ignored. Ties on the curve are ordered by doc_id, or dealt
+    over several partitions where they fill more than one. A document is in one partition, however long.
 
-    The tokens are written once (lengths and keys are read back alone to size the partitions) and shuffled once, by
-    ranges of (key, doc_id): copies of one text share a key and are still divided by doc_id.
+    The tokens are written once (lengths and keys are read back alone to cut the ranges) and shuffled once.
     """
     tokens = written(tokenised(docs, vocabulary), "tokens")
     total = tokens.agg(F.sum("n")).first()[0] or 0
@@ -129,7 +168,8 @@ def pack(docs: DataFrame, max_tokens: int = 1024, vocabulary: tuple[str, str] |
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=False)], names=names[: len(rows)])
 
-    ordered = tokens.repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id").select("doc_id", "n", "ids")
+    ranged = tokens.withColumn("part", token_ranges(tokens, partition_tokens, total)) if parts > 1 else tokens.withColumn("part", F.lit(0))
+    ordered = ranged.repartitionById(parts, "part").sortWithinPartitions("key", "doc_id").select("doc_id", "n", "ids")
     return ordered.mapInArrow(run, schema)
 
 
