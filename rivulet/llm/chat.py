@@ -52,8 +52,11 @@ def branch_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     key = lambda *c: F.to_json(F.struct(*c))
     base = messages.select(key(F.col("tree"), F.col("node")).alias("k"), key(F.col("tree")).alias("tree_key"), F.when(F.col("parent").isNotNull(), key(F.col("tree"), F.col("parent").alias("node"))).alias("pk"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("s"))
     base = base.groupBy("k").agg(F.min("tree_key").alias("tree_key"), F.min("pk").alias("pk"), F.min("s").alias("s"))
+    # roots have no key to join on: together they would be one
+    base = written(base, "messages")
     known = base.select(F.col("k").alias("pk"), F.lit(True).alias("there"))
-    first = written(base.join(known, "pk", "left").select("k", "tree_key", F.when(F.col("there"), F.col("pk")).alias("up"), "s"), "jumps")
+    roots = base.where("pk IS NULL").select("k", "tree_key", F.lit(None).cast("string").alias("up"), "s")
+    first = written(roots.unionByName(base.where("pk IS NOT NULL").join(known, "pk", "left").select("k", "tree_key", F.when(F.col("there"), F.col("pk")).alias("up"), "s")), "jumps")
     done = first.where("up IS NULL").select("k", "tree_key", F.lit(1).cast("long").alias("steps"), F.col("s").alias("total"))
     # jumps[i]: the messages with an ancestor 2**i above, that ancestor, and the score from here up to before it
     jump = first.where("up IS NOT NULL")
@@ -78,6 +81,7 @@ def branch_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         wider = written(path.unionByName(reached), "paths")
         discard(path)
         path = wider
+    discard(base, first, *jumps)
     return path
 
 
