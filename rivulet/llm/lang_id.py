@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import text_chunks
@@ -95,14 +95,38 @@ def predict_texts(model: ByteCNN | None, texts) -> tuple[list[str], np.ndarray]:
     return labels, scores
 
 
+def kernel_mask() -> np.ndarray:
+    """Which weights each filter has: as many bytes as its width."""
+    w, e = max(WIDTHS), EMBED
+    return np.concatenate([np.repeat((np.arange(w * e) < k * e)[:, None], FILTERS, 1) for k in WIDTHS], axis=1).astype(np.float32)
+
+
+def gradients(model: ByteCNN, windows: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the mean weighted cross-entropy of windows (n, WINDOW + max width - 1) with classes y."""
+    w, n = max(WIDTHS), np.arange(len(windows))
+    cols = model.columns(windows)
+    response = cols @ model.kernel
+    where = response.argmax(axis=1)
+    picked = np.take_along_axis(response, where[:, None, :], 1)[:, 0] + model.bias
+    pooled = np.maximum(picked, 0)
+    d = softmax(pooled @ model.out + model.out_bias)
+    d[n, y] -= 1
+    d *= weight[:, None] / len(windows)
+    dpool = (d @ model.out.T) * (picked > 0)
+    taken = cols[n[:, None], where]  # row, filter, column
+    dcols = (dpool[:, :, None] * model.kernel.T[None]).reshape(-1, EMBED)
+    embed = np.zeros_like(model.embed)
+    np.add.at(embed, windows[n[:, None, None], where[:, :, None] + np.arange(w)].reshape(-1), dcols)
+    return {"out": pooled.T @ d, "out_bias": d.sum(0), "bias": dpool.sum(0), "kernel": np.einsum("rf,rfc->cf", dpool, taken) * kernel_mask(), "embed": embed}
+
+
 def train(texts: list[str], labels: list[str], epochs: int = 8, batch: int = 64, rate: float = 4e-3, seed: int = 7) -> ByteCNN | None:
     """Fits the network to labelled windows (the first WINDOW bytes of each text) with Adam on cross-entropy."""
     languages = sorted(set(labels))
     if not languages:
         return None
-    w, e = max(WIDTHS), EMBED
+    w, e, mask = max(WIDTHS), EMBED, kernel_mask()
     rng = np.random.default_rng(seed)
-    mask = np.concatenate([np.repeat((np.arange(w * e) < k * e)[:, None], FILTERS, 1) for k in WIDTHS], axis=1).astype(np.float32)
     p = {
         "embed": rng.normal(0, 0.5, (256, e)),
         "kernel": rng.normal(0, 1 / np.sqrt(w * e), mask.shape) * mask,
@@ -124,23 +148,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 8, batch: int = 64,
         order = rng.permutation(len(x))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
-            model = ByteCNN(languages, **p)
-            cols = model.columns(x[rows])
-            response = cols @ p["kernel"]
-            where = response.argmax(axis=1)
-            picked = np.take_along_axis(response, where[:, None, :], 1)[:, 0] + p["bias"]
-            pooled = np.maximum(picked, 0)
-            prob = softmax(pooled @ p["out"] + p["out_bias"])
-            d = prob
-            d[np.arange(len(rows)), y[rows]] -= 1
-            d *= weight[rows][:, None] / len(rows)
-            dpool = (d @ p["out"].T) * (picked > 0)
-            taken = cols[np.arange(len(rows))[:, None], where]  # row, filter, column
-            g = {"out": pooled.T @ d, "out_bias": d.sum(0), "bias": dpool.sum(0), "kernel": np.einsum("rf,rfc->cf", dpool, taken) * mask}
-            dcols = (dpool[:, :, None] * p["kernel"].T[None]).reshape(-1, e)
-            bytes_at = x[rows][np.arange(len(rows))[:, None, None], where[:, :, None] + np.arange(w)].reshape(-1)
-            g["embed"] = np.zeros_like(p["embed"])
-            np.add.at(g["embed"], bytes_at, dcols)
+            g = gradients(ByteCNN(languages, **p), x[rows], y[rows], weight[rows])
             step += 1
             lr = rate * (1 - epoch / epochs)
             for k, grad in g.items():
@@ -156,29 +164,31 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, max_docs_per_language: int = 300, windows_per_doc: int = 6, max_languages: int = 100) -> ByteCNN | None:
+def fit(docs: DataFrame, max_docs_per_language: int = 300, windows_per_doc: int = 6, max_languages: int = 1000) -> ByteCNN | None:
     """Learns from documents (doc_id, text, lang) that are not held out and have text and lang.
 
-    The sample is bounded by the parameters: the max_languages commonest labels, about max_docs_per_language documents
-    of each (those with the smallest hash of doc_id), windows_per_doc windows of each at positions fixed by a hash.
+    The sample is bounded by the parameters: of each label the max_docs_per_language documents with the smallest hash of
+    doc_id and text (rows that share them count singly, and no more rows reach the driver), windows_per_doc windows of
+    each at positions fixed by a hash. More labels than max_languages are an error, so no label is left out.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} labels to learn")
     if not counts:
         return None
     limit = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.3 * max_docs_per_language / r["n"]) * (1 << 20))))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    chosen = labelled.where(drawn < limit[F.col("lang")])
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
     place = lambda k: (1 + F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - WINDOW + 1, F.lit(1)))).cast("int")
     pieces = F.array(*(F.substring(F.col("text"), place(k), F.lit(WINDOW)) for k in range(windows_per_doc)))
-    rows = chosen.select("lang", drawn.alias("h"), "doc_id", pieces.alias("pieces")).collect()
-    texts, labels, used = [], [], {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["doc_id"])):
-        used[r["lang"]] = used.get(r["lang"], 0) + 1
-        if used[r["lang"]] <= max_docs_per_language:
-            for t in sorted(set(r["pieces"])):
-                texts.append(t)
-                labels.append(r["lang"])
+    chosen = labelled.where(drawn < limit[F.col("lang")]).select("lang", drawn.alias("h"), "doc_id", pieces.alias("pieces"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "pieces"))
+    rows = chosen.withColumn("place", first).where(F.col("place") <= max_docs_per_language).collect()
+    texts, labels = [], []
+    for r in sorted(rows, key=lambda r: (r["lang"], r["place"])):
+        for t in sorted(set(r["pieces"])):
+            texts.append(t)
+            labels.append(r["lang"])
     return train(texts, labels)
 
 
