@@ -5,7 +5,7 @@ is posted under each (coordinate, value) of its MinHash signature; values that o
 are dropped.  Two documents that agree in at least min_matches coordinates must meet under one of their rarest
 ``postings - min_matches + 1`` values, so only that prefix is joined (common values are skipped) and agreements are
 counted on the whole lists.  Pairs that reach min_matches, and whose LOWEST smallest hashes (the whole set, if it is no larger) do not
-put them four standard deviations under the threshold, are confirmed on the full sets.
+put them five standard deviations under the threshold, are confirmed on the full sets.
 
 Links are only needed up to reachability, so pairs inside one component are never made: first every document is
 confirmed against the leader it meets most often (of each value, the document with the commonest values: the text that
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import WordHasher, connected_components, mix, small_batches, text_chunks, written
+from rivulet.llm.common import WordHasher, connected_components, discard, mix, small_batches, text_chunks, written
 
 COORDINATES = 40
 MIN_MATCHES = 20
@@ -145,7 +145,7 @@ def crossings(blocks: DataFrame, percent: int, coordinates: int, min_matches: in
                 limit = np.minimum(a.last[x], b.last[y])
                 shared = same[x, y].astype(np.int64)
                 either = a.below(x, limit) + b.below(y, limit) - shared
-                slack = np.where(a.whole[x] & b.whole[y], 0, 4 * np.sqrt(p * (1 - p) / np.maximum(either, 1)))
+                slack = np.where(a.whole[x] & b.whole[y], 0, 5 * np.sqrt(p * (1 - p) / np.maximum(either, 1)))
                 ok = shared >= (p - slack) * either - 1e-9
                 x, y, score = x[ok], y[ok], shared[ok] / either[ok]
                 if best_only:
@@ -169,8 +169,8 @@ def crossings(blocks: DataFrame, percent: int, coordinates: int, min_matches: in
         if flagged:
             yield pa.RecordBatch.from_arrays([pa.array(list(flagged), pa.int64())], names=["doc"])
 
-    if signatures_only:  # fewer, longer tasks name a document less often
-        return blocks.coalesce(blocks.sparkSession.sparkContext.defaultParallelism * 4).mapInArrow(run, "doc long").distinct()
+    if signatures_only:
+        return blocks.mapInArrow(run, "doc long").distinct()
     return blocks.mapInArrow(run, "a long, b long, score double").groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
@@ -292,7 +292,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     Links join documents with 100 * intersection >= percent * union; component_id is the smallest doc_id reachable.
-    A pair exactly at 80 % agrees in fewer than 20 of 40 coordinates with a probability of about 5e-6; more similar
+    A pair exactly at 80 % agrees in fewer than 20 of 40 coordinates with a probability of about 5e-6, and if it is
+    longer than LOWEST its smallest hashes lie five standard deviations too low with one of about 1e-6; more similar
     pairs, less. Null and wordless texts: empty set, linked with nothing, kept. Rows that share a doc_id count as one
     document; a null doc_id is not linked and has a null component, and its row is kept. An empty table gives no rows;
     other columns are ignored.
@@ -316,17 +317,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     first = written(first, "leaders")
     texts = candidates(docs, first.select(F.col("a").alias("doc")).union(first.select(F.col("b").alias("doc"))), words, coordinates)
     joined = linked(None, confirmed(first, texts, words, percent))
+    discard(texts, first)
     meeting = meetings(lists, joined, min_matches)
     bytewise = F.transform("signature", lambda x: (x.bitwiseAND(F.lit(255)) - 128).cast("tinyint"))
     apart = crossings(block_pairs(meeting, lists.select("doc", bytewise.alias("sketch"), F.array().cast("array<bigint>").alias("prefix"))), percent, coordinates, min_matches, signatures_only=True)
     texts = candidates(docs, apart, words, coordinates)
     some = written(lists.join(texts.select("doc"), "doc"), "postings")
+    discard(lists)
     for last in (False, True):
         met = crossings(block_pairs(meetings(some, joined, min_matches), texts.select("doc", "sketch").join(some.select("doc", prefix_keys(min_matches).alias("prefix")), "doc")), percent, coordinates, min_matches, best_only=not last)
         if not last:  # each document with its likeliest partner: merges what one link can merge
             ends = met.select(F.col("a").alias("x"), "a", "b", "score").union(met.select(F.col("b").alias("x"), "a", "b", "score"))
             met = ends.groupBy("x").agg(F.max(F.struct("score", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
         joined = linked(joined, confirmed(met.select("a", "b"), texts, words, percent))
+    discard(texts, some)
     where = classes.select("h1", "h2", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "h1", "h2").join(where, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
