@@ -17,9 +17,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine), a temporary one is set."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one is set on a single machine; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="rivulet-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -39,10 +42,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a table made by written() that nothing reads any more."""
-    path = getattr(df, "_rivulet_path", None)
-    if path:
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by written() that nothing reads any more; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_rivulet_path", None)
+        if not path:
+            continue
         jvm = df.sparkSession._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import connected_components, mix, small_batches, written
+from rivulet.llm.common import connected_components, discard, mix, small_batches, written
 
 WIDTH = 2.0
 MISSED = 0.002  # of pairs exactly at the threshold
@@ -251,6 +251,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
 
     grouped = classes.join(groups.withColumnRenamed("node", "id").withColumnRenamed("component", "near"), "id").withColumn("dim", F.size("embedding"))
     links = written(links_of(blocks(grouped, ["near", "label", "dim"], "embedding", "copies"), threshold), "links")
+    discard(shared, sketch)
     components = connected_components(links.where("root IS NOT NULL").select(F.col("id").alias("a"), F.col("root").alias("b")))
     degree = links.groupBy("id").agg(F.sum("n").alias("n"))
 

@@ -103,6 +103,20 @@ def test_packing_ids_of_added_tokens(spark):
     assert rows[0] == [15496, 220, 50256, 995, 0]
 
 
+def test_packing_ranges_hold_equal_tokens(spark):
+    """One text that fills many partitions, very long texts and many short ones; rows without an id."""
+    rng = random.Random(6)
+    words = ["The", "café", "x1", "don't", "42", "zebra", "über", "no"]
+    texts = ["same text over and over " * 4] * 500 + [" ".join(rng.choices(words, k=rng.choice([2, 10, 40]))) for _ in range(600)] + [" ".join(rng.choices(words, k=900)) for _ in range(10)]
+    docs = documents(spark, texts).unionByName(spark.createDataFrame([(None, "none", "en", "s", 4)] * 3, DOCS))
+    rows = packing.pack(clashing(docs), max_tokens=64, partition_tokens=3000, with_ids=False).toPandas()
+    per = rows.groupby(rows.sequence_id // (1 << 33)).length.sum()
+    assert len(per) > 10 and per.max() <= 2 * 3000 and per.max() <= 2 * per.median()
+    whole = rows.dropna(subset=["doc_id"]).groupby("doc_id")
+    assert whole.ngroups == len(texts) and (whole.length.sum() == whole.doc_tokens.first()).all()
+    assert rows.doc_id.isna().sum() >= 3
+
+
 def test_hilbert_neighbours_are_adjacent():
     cells = np.array(list(itertools.product(range(8), repeat=3)))
     key = packing.hilbert_key(cells, 3)
@@ -136,6 +150,21 @@ def test_chat_long_chains_and_ties(spark):
     assert out[-7]["loss_chars"] == len(chat.PLANTED)
 
 
+def test_chat_clashing_columns_and_long_texts(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a#<\\:" * 100_000), (2, 0, "user", None)]
+    df = clashing(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    df = df.withColumns({c: F.lit("x") for c in ("k", "pk", "tree", "node", "parent", "score", "up", "m", "leaf_key", "position", "rank", "piece")})
+    out = {r["conv_id"]: r for r in chat.op2_query(df).collect()}
+    assert set(out) == {1, 2, -7} and out[1]["loss_chars"] == 500_000 and out[1]["loss_sha256"] == hashlib.sha256(rows[1][3].encode()).hexdigest()
+
+
+def test_chat_roots_are_not_joined(spark):
+    """Messages without a parent meet no join: a null key would gather them in one task."""
+    rows = [(i, 0, None, "user", "hello", 0.0) for i in range(50)] + [(i, 1, 0, "assistant", "there", 0.0) for i in range(50)]
+    out = chat.format_trees(spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")).collect()
+    assert len(out) == 50 and all(r["n_turns"] == 2 for r in out)
+
+
 # ------------------------------------------------------------------------------------------------ 3 language
 
 
@@ -156,6 +185,53 @@ def test_language_odd_texts(spark):
     assert lang_id.known_language(docs, model).columns == docs.columns
 
 
+def plain_probabilities(model, data):
+    """The network's forward pass of one window written out with loops."""
+    length, e = lang_id.WINDOW, lang_id.EMBED
+    best = []
+    for f in range(model.kernel.shape[1]):
+        width = lang_id.WIDTHS[f // lang_id.FILTERS]
+        sums = [sum(float(model.embed[data[i + j], c]) * float(model.kernel[j * e + c, f]) for j in range(width) for c in range(e)) for i in range(length)]
+        best.append(max(0.0, max(sums) + float(model.bias[f])))
+    z = [sum(b * float(model.out[f, k]) for f, b in enumerate(best)) + float(model.out_bias[k]) for k in range(len(model.languages))]
+    return [math.exp(x) / sum(map(math.exp, z)) for x in z]
+
+
+def test_language_network_written_out():
+    model = lang_id.train(["the cat and the dog of the house", "le chat et la maison du chien", "die Katze und der Hund"] * 20, ["en", "fr", "de"] * 20, epochs=2)
+    rng = np.random.default_rng(3)
+    windows = np.zeros((4, lang_id.WINDOW + max(lang_id.WIDTHS) - 1), np.uint8)
+    for row, text in zip(windows, ["the cat", "été à la maison " * 16, "", "x"], strict=True):
+        raw = np.frombuffer(text.encode()[: lang_id.WINDOW], np.uint8)
+        row[: len(raw)] = raw
+    assert np.allclose(model.probabilities(windows), [plain_probabilities(model, w) for w in windows], atol=1e-4)
+    # gradients against differences of the loss, in double precision
+    whole = lang_id.ByteCNN(model.languages, *(getattr(model, k).astype(np.float64) for k in ("embed", "kernel", "bias", "out", "out_bias")))
+    y, weight = np.array([0, 1, 2, 0]), np.array([1.0, 0.5, 2.0, 1.0])
+    loss = lambda: -(weight * np.log(whole.probabilities(windows)[np.arange(4), y])).mean()
+    for name, g in lang_id.gradients(whole, windows, y, weight).items():
+        value = getattr(whole, name)
+        some = np.argwhere(np.abs(g) > 1e-4)
+        for at in map(tuple, some[rng.permutation(len(some))[:12]]):
+            keep, diffs = value[at], []
+            for step in (1e-6, -1e-6):
+                value[at] = keep + step
+                diffs.append(loss())
+            value[at] = keep
+            assert np.isclose((diffs[0] - diffs[1]) / 2e-6, g[at], rtol=1e-3, atol=1e-7), (name, at)
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """One document repeated very often gives the sample no more rows than the parameters name."""
+    rows = [(7, "the same text again and again", "en")] * 3000 + [(i, f"un autre texte {i}", "fr") for i in range(100, 160)]
+    seen = []
+    monkeypatch.setattr(lang_id, "train", lambda texts, labels: seen.append(Counter(labels)))
+    lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_docs_per_language=20, windows_per_doc=2)
+    assert seen[0]["en"] <= 40 and 10 < seen[0]["fr"] <= 40
+    with pytest.raises(ValueError, match="labels"):
+        lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_languages=1)
+
+
 # ------------------------------------------------------------------------------------------------ 4 near duplicates
 
 
@@ -201,6 +277,29 @@ def test_near_duplicates_against_all_pairs(spark, words):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
+def test_near_duplicates_recall_at_the_threshold(spark):
+    """Pairs with a similarity of 0.80 to 0.85, short ones and ones longer than the list of smallest hashes; none below."""
+    rng = random.Random(21)
+    texts, pairs = [], []
+    for k in range(240):
+        n = rng.choice([60, 200, 600, 1500])
+        base = [f"v{k}x{i}" for i in range(n)]
+        below = k % 6 == 0
+        # each changed word takes two of the n - 1 shingles from both sets
+        least, most = (n - 1) * (1 - 0.85) / 1.85 / 2, (n - 1) * (1 - 0.80) / 1.80 / 2
+        changed = math.floor(most) + 1 if below else rng.randint(math.ceil(least), math.floor(most))
+        copy = list(base)
+        for i in rng.sample(range(1, n // 2), changed):
+            copy[2 * i - 1] = f"c{k}x{i}"
+        pairs.append((len(texts), below))
+        texts += [" ".join(base), " ".join(copy)]
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(documents(spark, texts), 2).collect()}
+    sets = [{tuple(w[i : i + 2]) for i in range(len(w) - 1)} for w in (t.split() for t in texts)]
+    near = {a: 100 * len(sets[a] & sets[a + 1]) >= 80 * len(sets[a] | sets[a + 1]) for a, _ in pairs}
+    assert sum(near.values()) >= 190 and all(near[a] != below for a, below in pairs)
+    assert all((found[a + 1] == a) == near[a] for a, _ in pairs)
+
+
 def test_near_duplicate_stage_keeps_one_of_each(spark):
     text = " ".join(f"w{i}" for i in range(60))
     docs = documents(spark, [text, text, text + " more", "other", None, None]).union(documents(spark, ["again"]).withColumn("doc_id", F.lit(3).cast("long"))).unionByName(spark.createDataFrame([(None, text, "en", "s", 1)], DOCS))
