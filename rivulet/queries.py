@@ -26,10 +26,13 @@ def items(spark: SparkSession, d: str, name: str, columns: list[str], order_by:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path that driver and executors share: below spark.checkpoint.dir, or a temporary one on a single machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         import tempfile
 
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="rivulet-")
     return f"{base}/{uuid.uuid4().hex}/{name}"
 
