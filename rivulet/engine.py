@@ -9,11 +9,11 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.functions.exprs import Compiler, Emitter, Node, Unsupported, comparator_key, inputs_of, substituted, with_nodes
+from rivulet.functions.exprs import Compiler, Emitter, Node, Unsupported, comparator_keys, inputs_of, substituted, with_nodes
 from rivulet.functions.types import INTEGERS, Catalog, EnumDef, StructDef, Type
 from rivulet.operators.combinatorics import expand
 from rivulet.operators.fold import fold, fold_algebraic
-from rivulet.operators.topn import keep_first_n, ranked
+from rivulet.operators.topn import by_order, keep_first_n, ranked, sorted_by
 from rivulet.operators.union import select_all
 from rivulet.plans.bounds import resolve
 from rivulet.plans.parser import parse
@@ -187,14 +187,10 @@ class Engine:
             return Typed(Stream(made.select(*keep, value.alias(VALUE)), stream.count), kind)
         return Typed(Stream(made.where("_made IS NOT NULL").select(*keep, value.alias(VALUE))), kind)
 
-    def comparator(self, name: str) -> tuple[Node, bool] | None:
+    def comparator(self, name: str) -> tuple[Node, list[tuple[Node, bool]] | None] | None:
+        """The order that an in-language comparator gives of items a and b, and its keys, if it compares keys one by one."""
         node = self.compiled(name, "a", "b")
-        if node is None:
-            return None
-        key = comparator_key(self.compiler.graph, node)
-        if key is None:
-            raise ProgramError(f"fn {name}: not a comparison of one key; give functions={{'{name}': SortKey(...) or a comparator}}")
-        return key
+        return None if node is None else (node, comparator_keys(self.compiler.graph, node))
 
     def top(self, stream: Stream, s: Step) -> Stream:
         found = self.comparator(s.function)
@@ -203,9 +199,13 @@ class Engine:
             if isinstance(f, SortKey):
                 return keep_first_n(stream, s.number, f.key, f.ascending)
             return keep_first_n(stream, s.number, compare=f)
-        key, up = found
-        frame = with_nodes(stream.frame, self.emitter(a=F.col(VALUE)), {"_key": key})
-        return keep_first_n(Stream(frame, stream.count), s.number, lambda _: F.col("_key"), ascending=not up)
+        order, keys = found
+        if keys is None:
+            return by_order(stream, s.number, lambda a, b: self.emitter(a=a, b=b).column(order))
+        names = [f"_by{i}" for i in range(len(keys))]
+        frame = with_nodes(stream.frame, self.emitter(a=F.col(VALUE)), dict(zip(names, (k for k, _ in keys), strict=True)))
+        by = [(lambda _, c=c: F.col(c), not up) for c, (_, up) in zip(names, keys, strict=True)]
+        return keep_first_n(Stream(frame, stream.count), s.number, by)
 
     def top_of_tuples(self, now: Typed, tuples: Step, top: Step) -> Typed | None:
         """Tuples and their top n in one: what a key takes from single items is computed before the items multiply,
@@ -214,9 +214,9 @@ class Engine:
         if not k or not n or top.function not in self.declared:
             return None
         found = self.comparator(top.function)
-        if found is None:
+        if found is None or not found[1]:
             return None
-        key, up = found
+        keys = [key for key, _ in found[1]]
         g = self.compiler.graph
         parts: dict[int, Node] = {}
 
@@ -231,9 +231,10 @@ class Engine:
                 if isinstance(a, Node):
                     elements(a, seen)
 
-        elements(key, set())
-        key = substituted(g, key, parts)
-        if "a" in inputs_of(key):
+        for key in keys:
+            elements(key, set())
+        keys = [substituted(g, key, parts) for key in keys]
+        if any("a" in inputs_of(key) for key in keys):
             return None
         carried: dict[int, tuple[str, Node]] = {}
         done: dict[int, Node] = {}
@@ -263,17 +264,18 @@ class Engine:
             done[id(x)] = out
             return out
 
-        key = hoisted(key)
-        if any(int(x.rpartition("_")[2]) >= k for x in inputs_of(key)):
+        keys = [hoisted(key) for key in keys]
+        if any(int(x.rpartition("_")[2]) >= k for key in keys for x in inputs_of(key)):
             return None
         frame = with_nodes(now.stream.frame, self.emitter(e=F.col(VALUE)), {c: x for c, x in carried.values()})
         names = [c for c, _ in carried.values()]
         out = expand(Stream(frame, now.stream.count), tuples.op, k, {c: F.col(c) for c in names}, pieces=True)
-        frame = with_nodes(out.frame, self.emitter(**{f"{c}_{i}": F.col(f"{c}_{i}") for c in names for i in range(k)}), {"_key": key})
+        frame = with_nodes(out.frame, self.emitter(**{f"{c}_{i}": F.col(f"{c}_{i}") for c in names for i in range(k)}), {f"_key{i}": key for i, key in enumerate(keys)})
         pieces, places = [f"_v{i}" for i in range(k)], [f"_p{i}" for i in range(k)]
-        best = frame.select("_key", *places, *pieces).orderBy(F.col("_key").desc() if up else F.col("_key").asc(), *places).limit(n)
+        by, ways = [f"_key{i}" for i in range(len(keys))], [not up for _, up in found[1]]
+        best = frame.select(*by, *places, *pieces).orderBy(*sorted_by(by, ways), *places).limit(n)
         count = None if out.count is None else min(n, out.count)
-        made = ranked(best.select("_key", F.array(*places).alias(SEQ), F.array(*pieces).alias(VALUE)), not up, count)
+        made = ranked(best.select(*by, F.array(*places).alias(SEQ), F.array(*pieces).alias(VALUE)), by, ways, count)
         return Typed(made, Type("array", size=k, inner=(now.type,)) if now.type else None)
 
     def folded(self, stream: Stream, s: Step) -> Typed:

@@ -107,9 +107,11 @@ class Stream:
 
         return expand(self, "combinations", k, **options)
 
-    def keep_first_n(self, n: int, key: Callable[[Column], Column] | None = None, ascending: bool = False, compare: Callable | None = None) -> Stream:
+    def keep_first_n(self, n: int, key: Callable[[Column], Column] | list | None = None, ascending: bool = False, compare: Callable | None = None) -> Stream:
         """The n largest items by key (or, ascending, the smallest), largest first; ties keep stream order.
 
+        key may be a list of (key, ascending), compared one after the other.
+
         compare(a, b): a Python comparator on items, negative, zero or positive; slower.
         """
         from rivulet.operators.topn import keep_first_n

@@ -66,6 +66,15 @@ PROGRAMS = [
     ("fn c(a: &i32, b: &i32) -> Ordering { b.cmp(a) } range(3,9).keep_first_n(3, c).return", [3, 4, 5]),
     ("fn c(a: &i32, b: &i32) -> Ordering { if a < b { Ordering::Greater } else if a > b { Ordering::Less } else { Ordering::Equal } } range(3,9).keep_first_n(2, c).return", [3, 4]),
     ("fn k(a: &i32) -> i32 { a % 3 } fn c(a: &i32, b: &i32) -> Ordering { k(a).cmp(&k(b)).reverse() } range(0,7).keep_first_n(3, c).return", [0, 3, 6]),
+    ("struct P { a: i32, b: i32 } fn p(x: i32) -> P { P { a: x % 3, b: x } } fn b(v: P) -> i32 { v.b } fn c(x: &P, y: &P) -> Ordering { x.a.cmp(&y.a).then_with(|| y.b.cmp(&x.b)) } range(0,8).map(p).keep_first_n(5, c).map(b).return", [2, 5, 1, 4, 7]),
+    ("struct P { a: i32, b: i32 } fn p(x: i32) -> P { P { a: x % 3, b: x } } fn b(v: P) -> i32 { v.b } fn c(x: &P, y: &P) -> Ordering { match y.a.cmp(&x.a) { Ordering::Equal => x.b.cmp(&y.b), other => other } } range(0,8).map(p).keep_first_n(4, c).map(b).return", [6, 3, 0, 7]),
+    ("struct P { a: i32, b: i32 } fn p(x: i32) -> P { P { a: x % 3, b: x } } fn b(v: P) -> i32 { v.b } fn c(x: &P, y: &P) -> Ordering { if x.a != y.a { return x.a.cmp(&y.a); } y.b.cmp(&x.b) } range(0,8).map(p).keep_first_n(5, c).map(b).return", [2, 5, 1, 4, 7]),
+    ("fn h(x: &i32) -> i32 { x % 2 } fn c(x: &i32, y: &i32) -> Ordering { h(x).cmp(&h(y)).then(x.cmp(y).reverse()) } range(0,7).keep_first_n(4, c).return", [1, 3, 5, 0]),
+    # no key of one item: quotients compared by cross products
+    ("fn c(x: &i32, y: &i32) -> Ordering { (x * (y % 3 + 1)).cmp(&(y * (x % 3 + 1))) } range(1,10).keep_first_n(4, c).return", [9, 6, 7, 3]),
+    ("fn c(p: &[i32; 2], q: &[i32; 2]) -> Ordering { (p[1] - p[0]).cmp(&(q[1] - q[0])).then(q[0].cmp(&p[0])) } range(0,5).combinations(2).keep_first_n(3, c).return", [[0, 4], [0, 3], [1, 4]]),
+    ("fn f(x: i32) -> i32 { if x < 2 { return 10; } if x == 2 { return 20; } else { let y = x * 2; if y > 6 { return y; } } x } range(0,5).map(f).return", [10, 10, 20, 3, 8]),
+    ("fn g(x: i32) -> Option<i32> { if x % 2 == 0 { Some(x * 5) } else { None } } fn f(x: i32) -> Option<i32> { let y = g(x)?; if y > 15 { return None; } Some(y + 1) } range(0,6).filter_map(f).return", [1, 11]),
     ("out = inn.map(f) inn = range(0, 2) fn f(x: i32) -> i32 { x }", "undefined"),
 ]
 

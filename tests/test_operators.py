@@ -93,3 +93,15 @@ def test_filter_map_keeps_present_nulls(spark):
 def test_from_table_by_text_key(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), ("c", 3)], "k string, v int")
     assert [r["v"] for r in Stream.from_table(df, "k").items()] == [2, 1, 3]
+
+
+def test_tops_by_comparator_over_many_chunks(spark, monkeypatch):
+    from rivulet.operators import topn
+
+    monkeypatch.setattr(topn, "CHUNK", 16)
+    s = Stream.range(spark, 0, 1000)
+    assert topn.by_order(s, 3, lambda a, b: F.signum((a % 10 - b % 10).cast("double")).cast("int")).items() == [9, 19, 29]
+    assert topn.by_order(s.combinations(2), 2, lambda a, b: F.signum(((a[1] - a[0]) - (b[1] - b[0])).cast("double")).cast("int")).items() == [[0, 999], [0, 998]]
+    assert s.keep_first_n(3, key=[(lambda v: v % 7, False), (lambda v: v, True)]).items() == [6, 13, 20]
+    rows = s.map(lambda v: F.struct((v % 5).alias("a"), v.cast("string").alias("b"), F.array(v).alias("c")))
+    assert [(r["a"], r["b"], r["c"]) for r in rows.keep_first_n(2, compare=lambda x, y: x["a"] - y["a"] or y["c"][0] - x["c"][0]).items()] == [(4, "4", [4]), (4, "9", [9])]
