@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.engine import Engine
+from rivulet.engine import Engine, ProgramError, SortKey
 from rivulet.plans.analysis import analyze
 from rivulet.stream import ERROR, VALUE, Stream
 
@@ -118,6 +118,139 @@ def analysis(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(s.description, str(s.cardinality), str(s.time_class), str(s.space_class), s.collects_input) for s in report.streams], "description string, cardinality string, time_class string, space_class string, collects_input boolean")
 
 
+def program(text: str, *tables: tuple[str, str, list[str], str]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query from a program's text; tables: (variable, table, columns, order)."""
+    return lambda spark, d: Engine(spark, tables={v: items(spark, d, t, c, o) for v, t, c, o in tables}).run(text).df
+
+
+ORDERS = ("orders", "orders", ["o_orderkey", "o_custkey", "o_orderstatus"], "o_orderkey")
+ORDER = "struct Order { o_orderkey: i64, o_custkey: i64, o_orderstatus: string_1 } "
+CUSTOMERS = ("customers", "customer", ["c_custkey", "c_nationkey", "c_mktsegment"], "c_custkey")
+CUSTOMER = "struct Customer { c_custkey: i64, c_nationkey: i32, c_mktsegment: string_20 } "
+
+
+def raised(act: Callable[[], object], says: str, kind: type = Exception) -> bool:
+    """Whether act fails with an error of that kind and wording."""
+    try:
+        act()
+    except kind as e:
+        return says in str(e)
+    return False
+
+
+def one_row(spark: SparkSession, **values: bool) -> DataFrame:
+    return spark.range(1).select(*(F.lit(v).alias(k) for k, v in values.items()))
+
+
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, text) of one text file, numbered from 0."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("line", "text"))
+
+
+def csv_lines(spark: SparkSession, name: str, lines: list[str]) -> str:
+    """A small CSV file with these lines, in order."""
+    path = scratch(spark, name)
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+def written_in_order(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "top.csv")
+    items(spark, d, "orders", ["o_orderkey", "o_totalprice"], "o_orderkey").keep_first_n(30, key=lambda x: x["o_totalprice"]).map(lambda x: F.struct(x["o_orderkey"].alias("o_orderkey"))).write_file(path)
+    return file_lines(spark, path).where("line > 0").select("line", F.col("text").cast(LONG).alias("o_orderkey"))
+
+
+def written_scalars_in_order(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "pairs.csv")
+    Engine(spark).run(f'range(0, 40).combinations(2).write_file("{path}", csv)')
+    return file_lines(spark, path)
+
+
+def written_empty(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "none.csv")
+    items(spark, d, "nation", ["n_nationkey", "n_name"], "n_nationkey").filter(lambda x: F.lit(False)).write_file(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    length = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).getLen()
+    return spark.createDataFrame([(1, length)], "files long, size long")
+
+
+def csv_records(spark: SparkSession, d: str) -> DataFrame:
+    """Columns bound by name, an empty optional field, a ragged row, a bad number and one out of its type."""
+    path = csv_lines(spark, "odd.csv", ["size,name,key", "5,a,1", ",b,2", "7,c,3,extra", "x,d,4", "300,e,5", "9,,6", "8,f"])
+    made = Engine(spark).run(f'struct R {{ key: i64, name: Option<string_5>, size: Option<u8> }} read_file("{path}", csv, struct=R).ok().return')
+    return made.df.select("key", "name", F.col("size").cast(INT).alias("size"))
+
+
+def csv_missing_column(spark: SparkSession, d: str) -> DataFrame:
+    """A column that the file lacks: null for an optional field, an error for another; and a file that is not there."""
+    path = csv_lines(spark, "short.csv", ["key", "1", "2"])
+    optional = Engine(spark).run(f'struct R {{ key: i64, name: Option<string_5> }} read_file("{path}", csv, struct=R).ok().return').df.where("name IS NULL").count()
+    needed = Engine(spark).run(f'struct R {{ key: i64, name: string_5 }} read_file("{path}", csv, struct=R).ok().return').df.count()
+    strict = Engine(spark).run(f'struct R {{ key: i64, name: string_5 }} read_file("{path}", csv, struct=R).ok_or_panic().return')
+    absent = raised(lambda: Engine(spark).run(f'struct R {{ key: i64 }} read_file("{path}-none", csv, struct=R).ok().return').df.count(), "")
+    return one_row(spark, optional_is_null=optional == 2, needed_is_error=needed == 0, strict_raises=raised(strict.df.collect, "missing column"), absent_raises=absent)
+
+
+def csv_plain_under_gz(spark: SparkSession, d: str) -> DataFrame:
+    path = csv_lines(spark, "plain.csv.gz", ["key,name", "1,a", "2,b"])
+    files = spark.read.format("binaryFile").load(path).first()["path"]
+    fs = spark._jvm.org.apache.hadoop.fs.Path(files)
+    to = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-one/plain.csv.gz")
+    system = fs.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    system.mkdirs(to.getParent())
+    system.rename(fs, to)
+    return Engine(spark).run(f'struct R {{ key: i64, name: string_5 }} read_file("{to.toString()}", csv, struct=R, infer_compression=false).ok_or_panic().return').df
+
+
+def payload_match(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "status.csv")
+    table(spark, d, "orders", "o_orderkey", "o_orderstatus").write.option("header", True).csv(path)
+    text = """
+        enum Status { Final = "F", default Other(string_1) }
+        struct Order { o_orderkey: i64, o_orderstatus: Status }
+        struct Seen { key: i64, status: string_10 }
+        fn seen(o: Order) -> Option<Seen> {
+            match o.o_orderstatus {
+                Status::Final => None,
+                Status::Other(x) => Some(Seen { key: o.o_orderkey, status: x }),
+            }
+        }
+        read_file("%s", csv, struct=Order).ok_or_panic().filter_map(seen).return
+    """
+    return Engine(spark).run(text % path).df
+
+
+def outside(spark: SparkSession, d: str) -> DataFrame:
+    """A function of Columns in place of an in-language one, and a key for keep_first_n."""
+    digits = lambda v: F.aggregate(F.split(v.cast("string"), ""), F.lit(0).cast(LONG), lambda n, c: n + F.coalesce(c.try_cast(LONG), F.lit(0)))
+    tables = {"keys": items(spark, d, "orders", ["o_orderkey"], "o_orderkey")}
+    return Engine(spark, functions={"digits": digits, "most": SortKey(lambda v: v)}, tables=tables).run("keys.map(digits).keep_first_n(25, most).return").df
+
+
+def refused(spark: SparkSession, d: str) -> DataFrame:
+    """Programs that cannot run name what stands in the way; integers that overflow raise."""
+    run_ = lambda text: Engine(spark).run(text).df.collect()
+    return one_row(
+        spark,
+        body_names_function=raised(lambda: run_("fn odd_one(x: i32) -> i32 { x.count_ones() } range(0, 4).map(odd_one).return"), "odd_one", ProgramError),
+        unknown_function=raised(lambda: run_("range(0, 4).map(nothing).return"), "nothing", ProgramError),
+        reversed_range=raised(lambda: run_("range(7, 3).return"), "Range count is negative"),
+        overflow=raised(lambda: run_("fn f(x: i32) -> i32 { x * 2000000000 } range(0, 4).map(f).return"), "OVERFLOW"),
+    )
+
+
+def streamed(spark: SparkSession, d: str) -> DataFrame:
+    """An element-wise chain on a Structured Streaming source, run until the files there are read."""
+    from rivulet.streaming.elements import run_streaming
+
+    source = spark.readStream.schema(spark.read.parquet(f"{d}/orders.parquet").schema).parquet(f"{d}/orders.parque[t]").select("o_orderkey", "o_custkey", "o_orderstatus")
+    text = ORDER + "fn open(o: Order) -> bool { o.o_orderkey % 3 == 0 } fn half(o: Order) -> Option<i64> { if o.o_custkey % 2 == 0 { Some(o.o_orderkey * 2) } else { None } } input.filter(open).filter_map(half).return"
+    path = scratch(spark, "streamed")
+    run_streaming(text, source).writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     v = lambda: F.col(VALUE)
     cents = lambda c: F.round(c * 100).cast(LONG)
@@ -152,6 +285,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "collect_and_apply": lambda s, d: items(s, d, "region", ["r_regionkey"], "r_regionkey").collect_and_apply(lambda a: F.struct(F.size(a).cast(LONG).alias("n"), F.aggregate(a, F.lit(0), lambda x, y: x + y).cast(LONG).alias("total"))).df,
         "palette_flagship": flagship,
         "analyze": analysis,
+        "range_empty": program("select_all(range(5, 5), range(2, =2), range(9, =8)).return"),
+        "filter_map_option": program(ORDER + "fn f(o: Order) -> Option<i64> { if o.o_orderkey.wrapping_rem(3) == 0 { Some(o.o_orderkey * 10 + o.o_custkey % 7) } else { None } } orders.filter_map(f).return", ORDERS),
+        "struct_literal": program(ORDER + "struct Pair { key: i64, twice: i64, small: bool } fn f(o: Order) -> Pair { let twice = o.o_custkey * 2; Pair { key: o.o_orderkey, twice, small: twice < 100 } } fn big(p: Pair) -> bool { !p.small } orders.map(f).filter(big).return", ORDERS),
+        "const_table": program("fn f(x: i32) -> i32 { const TABLE: [[i32; 3]; 2] = [[2, 3, 5], [7, 11, 13]]; let row = TABLE[(x % 2) as usize]; row[(x % 3) as usize] * x } range(0, 50).map(f).return"),
+        "match_values": program('fn f(x: i32) -> i32 { match x % 6 { 0 => -1, 1 | 2 => x, n => n * 100 } } fn g(x: i32) -> bool { !matches!(x, 1 | 300 | -1) } range(0, 60).map(f).filter(g).return'),
+        "match_payload": payload_match,
+        "integer_wrap": program("struct W { x: i64, a: u8, b: i8, c: i32, d: i64 } fn f(x: i32) -> W { W { x: x as i64, a: (x * 3) as u8, b: (x * 3) as i8, c: (x as i64 * 40000000) as i32, d: (x - 7) as i64 / 2 % 5 } } range(0, 300).map(f).return"),
+        "early_return": program("fn f(x: i32) -> i32 { if x < 10 { return 0; } let mut n = x; let mut i = 0; while i < 3 { if n % 2 == 0 { n = n / 2; } i += 1; } if n == x { return -n; } n } range(0, 100).map(f).return"),
+        "option_try": program("fn half(x: i32) -> Option<i32> { if x % 2 == 0 { Some(x / 2) } else { None } } fn f(x: i32) -> Option<i32> { let a = half(x)?; let b = half(a)?; Some(b + 1) } range(0, 100).filter_map(f).return"),
+        "outside_functions": outside,
+        "refused_programs": refused,
+        "keep_first_n_keys": program(CUSTOMER + "fn c(a: &Customer, b: &Customer) -> Ordering { a.c_nationkey.cmp(&b.c_nationkey).then_with(|| b.c_mktsegment.cmp(&a.c_mktsegment)).then(b.c_custkey.cmp(&a.c_custkey)) } customers.keep_first_n(40, c).return", CUSTOMERS),
+        "keep_first_n_keys_of_tuples": program("fn d(p: &[i32; 2]) -> i32 { (p[1] - p[0]) % 9 } fn c(p: &[i32; 2], q: &[i32; 2]) -> Ordering { match d(p).cmp(&d(q)) { Ordering::Equal => q[0].cmp(&p[0]), other => other } } range(0, 60).combinations(2).keep_first_n(25, c).return"),
+        "keep_first_n_order": program(CUSTOMER + "fn w(v: &Customer) -> i64 { v.c_custkey % 50 + 1 } fn c(a: &Customer, b: &Customer) -> Ordering { (w(a) * (b.c_nationkey as i64 + 1)).cmp(&(w(b) * (a.c_nationkey as i64 + 1))) } customers.keep_first_n(30, c).return", CUSTOMERS),
+        "csv_records": csv_records,
+        "csv_missing_column": csv_missing_column,
+        "csv_plain_under_gz": csv_plain_under_gz,
+        "write_order": written_in_order,
+        "write_order_of_tuples": written_scalars_in_order,
+        "write_empty_struct": written_empty,
+        "streaming_chain": streamed,
     }
 
 
@@ -201,4 +355,25 @@ def oracle_sql() -> dict[str, str]:
                 FROM c x JOIN c y ON x.p < y.p JOIN c z ON y.p < z.p)
             SELECT c00, c01, c02, c10, c11, c12, c20, c21, c22 FROM t ORDER BY k DESC, p, q, o LIMIT 20""",
         "analyze": "SELECT * FROM (VALUES ('digits.filter(...).permutations(2).return', 'P(≤10, 2)', 'O(n!/(n-2)!)', 'O(n)', true), ('input.combinations(3).keep_first_n(20, ...).return', '20', 'O(1)', 'O(1)', true)) AS t(description, cardinality, time_class, space_class, collects_input)",
+        "range_empty": "SELECT CAST(2 AS INTEGER) AS value",
+        "filter_map_option": "SELECT o_orderkey * 10 + o_custkey % 7 AS value FROM orders WHERE o_orderkey % 3 = 0",
+        "struct_literal": "SELECT o_orderkey AS key, o_custkey * 2 AS twice, false AS small FROM orders WHERE o_custkey * 2 >= 100",
+        "const_table": "SELECT CAST((CASE range % 2 WHEN 0 THEN [2, 3, 5] ELSE [7, 11, 13] END)[range % 3 + 1] * range AS INTEGER) AS value FROM range(0, 50)",
+        "match_values": "SELECT * FROM (SELECT CAST(CASE WHEN range % 6 = 0 THEN -1 WHEN range % 6 < 3 THEN range ELSE range % 6 * 100 END AS INTEGER) AS value FROM range(0, 60)) WHERE value NOT IN (1, 300, -1)",
+        "match_payload": "SELECT o_orderkey AS key, o_orderstatus AS status FROM orders WHERE o_orderstatus <> 'F'",
+        "integer_wrap": "SELECT range AS x, CAST(range * 3 % 256 AS SMALLINT) AS a, CAST((range * 3 + 128) % 256 - 128 AS TINYINT) AS b, CAST((range * 40000000 + 2147483648) % 4294967296 - 2147483648 AS INTEGER) AS c, CAST(trunc((range - 7) / 2) AS BIGINT) % 5 AS d FROM range(0, 300)",
+        "early_return": "SELECT CAST(CASE WHEN range < 10 THEN 0 WHEN range % 2 = 1 THEN -range WHEN range % 8 = 0 THEN range // 8 WHEN range % 4 = 0 THEN range // 4 ELSE range // 2 END AS INTEGER) AS value FROM range(0, 100)",
+        "option_try": "SELECT CAST(range // 4 + 1 AS INTEGER) AS value FROM range(0, 100) WHERE range % 4 = 0",
+        "outside_functions": "SELECT CAST(list_sum(list_transform(string_split(CAST(o_orderkey AS VARCHAR), ''), lambda c: CAST(c AS BIGINT))) AS BIGINT) AS value FROM orders ORDER BY 1 DESC LIMIT 25",
+        "refused_programs": "SELECT true AS body_names_function, true AS unknown_function, true AS reversed_range, true AS overflow",
+        "keep_first_n_keys": "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer ORDER BY c_nationkey DESC, c_mktsegment, c_custkey LIMIT 40",
+        "keep_first_n_keys_of_tuples": "SELECT [CAST(a.range AS INTEGER), CAST(b.range AS INTEGER)] AS value FROM range(0, 60) a, range(0, 60) b WHERE a.range < b.range ORDER BY (b.range - a.range) % 9 DESC, a.range, b.range LIMIT 25",
+        "keep_first_n_order": "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer ORDER BY (c_custkey % 50 + 1) / (c_nationkey + 1) DESC, c_custkey LIMIT 30",
+        "csv_records": "SELECT CAST(key AS BIGINT) AS key, name, size FROM (VALUES (1, 'a', 5), (2, 'b', NULL), (6, NULL, 9)) AS t(key, name, size)",
+        "csv_missing_column": "SELECT true AS optional_is_null, true AS needed_is_error, true AS strict_raises, true AS absent_raises",
+        "csv_plain_under_gz": "SELECT CAST(key AS BIGINT) AS key, name FROM (VALUES (1, 'a'), (2, 'b')) AS t(key, name)",
+        "write_order": "SELECT CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS line, o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30",
+        "write_order_of_tuples": "SELECT CAST(row_number() OVER (ORDER BY a.range, b.range) - 1 AS INTEGER) AS line, a.range || ',' || b.range AS text FROM range(0, 40) a, range(0, 40) b WHERE a.range < b.range",
+        "write_empty_struct": "SELECT CAST(1 AS BIGINT) AS files, CAST(0 AS BIGINT) AS size",
+        "streaming_chain": "SELECT o_orderkey * 2 AS value FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey % 2 = 0",
     }

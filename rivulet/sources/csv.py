@@ -32,7 +32,10 @@ def header_of(line: str, spark: SparkSession) -> list[str]:
 def raw_rows(spark: SparkSession, path: str, infer_compression: bool) -> tuple[DataFrame, list[str]]:
     """All columns as text under their header names (renamed _c0, _c1, ...), SEQ and CORRUPT."""
     if path.endswith(".gz") and not infer_compression:
-        # plain text under a .gz name: Spark's text readers would unzip it
+        # plain text under a .gz name: Spark's text readers would unzip it, so the file is one value
+        size = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+        if size >= 1 << 31:
+            raise ValueError(f"{path}: plain text under a .gz name is read whole and must be smaller than 2 GB; rename it")
         lines = spark.read.format("binaryFile").load(path).select(F.posexplode(F.split(F.decode("content", "utf-8"), r"\r?\n")).alias("n", "line")).where("line <> ''")
         first = lines.where("n = 0").select("line").first()
         names = header_of(first[0] if first else "", spark)
