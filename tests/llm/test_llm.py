@@ -857,3 +857,73 @@ def test_pipeline(spark, tmp_path, sf_dir):
     assert 3 not in seen["benchmark_leaks"] and seen["personal_data"][2] == "mail <EMAIL> about the weather"
     assert seen["packing"] == set(seen["personal_data"])
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} == seen["packing"]
+
+
+def redacted(text, spans):
+    """Spans (kind, start, end) of a text replaced by their kinds; of overlapping ones the first, reaching to the end of all."""
+    out, at = [], 0
+    for begin, _, kind, end in sorted((b, -e, k, e) for k, b, e in spans):
+        if begin >= at:
+            out += [text[at:begin], f"<{kind.upper()}>"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_pipeline_against_plain_versions(spark, tmp_path, sf_dir):
+    """Every stage on what the one before it kept, with rows without id, repeated rows and clashing columns."""
+    base = read_table(spark, sf_dir, "documents").orderBy("doc_id").limit(120)
+    item = read_table(spark, sf_dir, "benchmark").orderBy("item_id").first()["text"]
+    odd = [(None, "a row that has no id, about the weather of the week", "en", "s", 1), (None, None, None, None, None), (9001, f"so {item} it ends", "en", "s", 1), (9002, "write to joe@x.org or +1 (755) 555-9729 about the weather", None, "s", 1), (9002, "write to joe@x.org or +1 (755) 555-9729 about the weather", None, "s", 1), (9003, "", "en", "s", 0), (9004, "long " * 40000, "en", "s", 1)]
+    docs = clashing(base.unionByName(spark.createDataFrame(odd, DOCS)))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    read_table(spark, sf_dir, "benchmark").write.parquet(str(tmp_path / "benchmark.parquet"))
+    before, key = docs, lambda r: (r["doc_id"], r["text"])
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, before, str(tmp_path)).write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        rows = [key(r) for r in before.collect()]
+        if name == "language_id":
+            labels, scores = lang_id.predict_texts(lang_id.fit(before), pa.array([t for _, t in rows], pa.string()))
+            expected = [r for r, lang, score in zip(rows, labels, scores, strict=True) if lang != "und" and score >= 0.3]
+        elif name == "near_duplicates":
+            named = sorted({i: t for i, t in rows if i is not None}.items())
+            root = {named[k][0]: named[c][0] for k, (_, c) in brute_components([t for _, t in named], 5, 80).items()}
+            expected = [(i, t) for i, t in named if root[i] == i] + [(i, t) for i, t in rows if i is None]
+        elif name == "benchmark_leaks":
+            con = duckdb.connect()
+            con.execute(f"CREATE VIEW benchmark AS SELECT * FROM read_parquet('{sf_dir}/benchmark.parquet')")
+            files = tmp_path / "near_duplicates" / "*.parquet"
+            con.execute(f"CREATE VIEW documents AS SELECT doc_id, text FROM read_parquet('{files}')")
+            bad = {r[0] for r in con.execute(decontaminate.OP7_SQL).fetchall()}
+            expected = [r for r in rows if r[0] not in bad]
+            assert 9001 in bad
+        elif name == "personal_data":
+            models = pii.fit(before)
+            found = {(r["doc_id"], r["text"]): [tuple(s) for s in r["spans"]] for r in pii.with_spans(before, models).select("doc_id", "text", F.col("__spans").alias("spans")).collect()}
+            assert all(set(brute_base(t)) <= set(spans) for (_, t), spans in found.items())
+            expected = [(i, redacted(t, found[i, t])) for i, t in rows]
+            assert any(i == 9002 and t == "write to <EMAIL> or <PHONE> about the weather" for i, t in expected)
+        else:
+            pieces = after.toPandas().sort_values(["sequence_id", "offset"])
+            total = sum(len(packing_ids(t)) for _, t in rows)
+            assert pieces.length.sum() == total and set(pieces.doc_id.dropna()) == {i for i, _ in rows if i is not None}
+            break
+        assert after.columns == docs.columns
+        assert Counter(map(key, after.collect())) == Counter(expected), name
+        before = after
+
+
+def packing_ids(text):
+    from rivulet.llm.tokens import default_vocabulary, encoding
+
+    return [*encoding(*default_vocabulary()).encode(text or "", allowed_special="all"), 0]
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path, sf_dir):
+    for t in ("documents", "benchmark"):
+        read_table(spark, sf_dir, t).limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    now = clashing(read_table(spark, str(tmp_path), "documents"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.count() == 0 and set(read_table(spark, sf_dir, "documents").columns) <= set(now.columns)
