@@ -10,6 +10,7 @@ only one: a vote for a candidate, or a majority of them, does not report it, and
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,29 +29,48 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 KINDS = (*PATTERNS, "secret", "name")
 TOKEN = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{8,}+"
 # what is assigned to a sensitive word, whatever it looks like
-ASSIGNED = r"(?i)\b(?:password|passwd|pwd|passphrase|secret|token|pin)\b[\"']?(?:\s{1,2}is)?\s{0,2}[:=]?\s{0,2}[\"']?[^\s\"'.,;:!?=()<>]{4,}+"
+ASSIGNERS = ("passw", "pwd", "passphrase", "secret", "token")
+ASSIGNED = r"(?i)\b(?:password|passwd|pwd|passphrase|secret|token)\b[\"']?(?:\s{1,2}is)?\s{0,2}[:=]?\s{0,2}[\"']?[^\s\"'.,;:!?=()<>]{4,}+"
 ASSIGNED_VALUE = r"([^\s\"'.,;:!?=()<>]{4,})$"
-_CAPITAL = r"\p{Lu}\p{Ll}++"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:(?:Mr|Mrs|Ms|Dr|Prof)\.? {_CAPITAL}(?: {_CAPITAL}){{0,2}}+|{_CAPITAL}(?: {_CAPITAL}){{1,3}}+)(?![\p{{L}}\p{{N}}])"
+# the look-behinds stand after what they look behind, so that they are only tried at a capital and at a dot
+NAME = r"\p{Lu}(?<![\p{L}\p{N}].)\p{Ll}++(?:\.(?<=(?<![\p{L}\p{N}])(?:Mr|Mrs|Ms|Dr|Prof)\.))?(?: \p{Lu}\p{Ll}++){1,3}+(?![\p{L}\p{N}])"
+CAPITALS = r"\p{Lu}\p{Ll}++\.? \p{Lu}\p{Ll}"
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
 FOUND = "array<struct<start:bigint,end:bigint,hit:string,before:string,after:string>>"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+CHUNK = 64  # matches that are put together at a time: appending to one array of them all would copy it for each
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches with positions in code points and up to 40 characters before and 12 after."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    pairs = F.zip_with(hits, F.sequence(F.lit(1), F.size(hits)), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(FOUND).alias("out"))
+    none = F.array().cast(FOUND)
 
-    def step(s, p):
-        gap = F.element_at(gaps, p["i"])
-        begin = s["at"] + F.char_length(gap)
-        end = begin + F.char_length(p["h"])
-        one = F.struct(begin.alias("start"), end.alias("end"), p["h"].alias("hit"), F.right(gap, F.lit(40)).alias("before"), F.left(F.element_at(gaps, p["i"] + 1), F.lit(12)).alias("after"))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
+    def found(p):
+        gaps, hits = p["gaps"], p["hits"]
+
+        def step(s, i):
+            gap, hit = F.element_at(gaps, i), F.element_at(hits, i)
+            begin = s["at"] + F.char_length(gap)
+            end = begin + F.char_length(hit)
+            one = F.struct(begin.alias("start"), end.alias("end"), hit.alias("hit"), F.right(gap, F.lit(40)).alias("before"), F.left(F.element_at(gaps, i + 1), F.lit(12)).alias("after"))
+            return F.struct(end.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
+
+        def chunk(s, i):
+            start = F.struct(s["at"].alias("at"), none.alias("out"))
+            part = F.aggregate(F.sequence(i, F.least(i + CHUNK - 1, F.size(hits))), start, step)
+            return let(part, lambda c: F.struct(c["at"].alias("at"), F.concat(s["out"], F.array(c["out"])).alias("out")))
+
+        state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{FOUND}>").alias("out"))
+        return F.when(F.size(hits) > 0, F.flatten(F.aggregate(F.sequence(F.lit(1), F.size(hits), F.lit(CHUNK)), state, chunk)["out"])).otherwise(none)
 
-    return F.when(F.size(hits) > 0, F.aggregate(pairs, state, step)["out"]).otherwise(F.array().cast(FOUND))
+    return let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("hits")), found)
 
 
 def digits(hit: Column) -> Column:
@@ -98,12 +118,14 @@ def token_candidates(text: Column) -> Column:
         return F.struct((m["end"] - F.char_length(hit)).alias("start"), m["end"].alias("end"), hit.alias("hit"), head.alias("before"), m["after"].alias("after"))
 
     assigned = F.filter(F.transform(matches(text, ASSIGNED), value), lambda m: ~m["hit"].rlike(TOKEN) & (F.char_length(m["hit"]) > 0))
-    return F.concat(tokens, F.when(text.rlike(ASSIGNED), assigned).otherwise(F.array().cast(FOUND)))
+    lower = F.lower(text)
+    worth = functools.reduce(lambda x, y: x | y, (lower.contains(w) for w in ASSIGNERS))
+    return F.concat(tokens, F.when(worth, assigned).otherwise(F.array().cast(FOUND)))
 
 
 def name_candidates(text: Column) -> Column:
     """Runs of two to four capitalised words, or a title and one at least."""
-    return F.when(text.rlike(NAME), matches(text, NAME)).otherwise(F.array().cast(FOUND))
+    return F.when(text.rlike(CAPITALS), matches(text, NAME)).otherwise(F.array().cast(FOUND))
 
 
 # Fixed word lists of the labelers.
