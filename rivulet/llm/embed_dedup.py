@@ -166,7 +166,7 @@ def near_groups(pairs: DataFrame, threshold: float) -> DataFrame:
             self.q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 4 << 20):
             left, right = Side(batch.column(0)), Side(batch.column(1))
             found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
             sizes, paired = np.diff(left.at), np.asarray(batch.column(1).is_valid())
@@ -193,7 +193,7 @@ def links_of(pairs: DataFrame, threshold: float) -> DataFrame:
     """Per pair of blocks: (id, n, root): the copies of other vectors linked to id, and an end of its star (null: none)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 4 << 20):
             (at, left), (to, right) = members_of(batch.column(0)), members_of(batch.column(1))
             paired = np.asarray(batch.column(1).is_valid())
 

@@ -21,6 +21,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBED = 8
 UNDETERMINED = "und"
+PIECE = 4 << 20
 
 
 @dataclass
@@ -196,7 +197,9 @@ def predict(model: ByteCNN | None, text: Column) -> Column:
     """A struct column (lang, score) for a text column; Arrow batches, one pass over the whole text."""
     @F.arrow_udf("struct<lang:string,score:double>")
     def apply(texts: pa.Array) -> pa.Array:
-        labels, scores = predict_texts(model, texts)
+        step = max(1, int(len(texts) * PIECE / max(PIECE, texts.nbytes)))  # rows of about PIECE bytes at a time
+        done = [predict_texts(model, texts.slice(i, step)) for i in range(0, len(texts), step)]
+        labels, scores = [x for part, _ in done for x in part], np.concatenate([np.zeros(0), *(s for _, s in done)])
         return pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     return apply(text)

@@ -117,7 +117,7 @@ def crossings(blocks: DataFrame, percent: int, coordinates: int, min_matches: in
     def run(batches):
         p = percent / 100
         flagged: set[int] = set()
-        for batch in batches:
+        for batch in small_batches(batches, 4 << 20):
             found = [np.zeros(0 if signatures_only else (0, 2), np.int64)]
             scores = [np.zeros(0)]
             lefts, rights = unpacked(batch.column(0)), unpacked(batch.column(1))
