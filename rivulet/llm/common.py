@@ -167,9 +167,24 @@ def text_chunks(column, size: int = 1 << 20):
             i = j
 
 
+def release_memory() -> None:
+    """Gives back what Arrow and the C library keep of freed memory; a worker that waits for its next task needs none of it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def small_batches(batches, size: int = 8 << 20):
     """Splits Arrow record batches so that none holds much more than size bytes (one row at least)."""
     for b in batches:
         step = max(1, int(b.num_rows * size / max(size, b.nbytes)))
         for i in range(0, b.num_rows, step):
             yield b.slice(i, step)
+        del b
+        release_memory()

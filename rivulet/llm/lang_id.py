@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import text_chunks
+from rivulet.llm.common import release_memory, text_chunks
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -199,6 +199,7 @@ def predict(model: ByteCNN | None, text: Column) -> Column:
     def apply(texts: pa.Array) -> pa.Array:
         step = max(1, int(len(texts) * PIECE / max(PIECE, texts.nbytes)))  # rows of about PIECE bytes at a time
         done = [predict_texts(model, texts.slice(i, step)) for i in range(0, len(texts), step)]
+        release_memory()
         labels, scores = [x for part, _ in done for x in part], np.concatenate([np.zeros(0), *(s for _, s in done)])
         return pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
