@@ -293,7 +293,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "match_payload": payload_match,
         "integer_wrap": program("struct W { x: i64, a: u8, b: i8, c: i32, d: i64 } fn f(x: i32) -> W { W { x: x as i64, a: (x * 3) as u8, b: (x * 3) as i8, c: (x as i64 * 40000000) as i32, d: (x - 7) as i64 / 2 % 5 } } range(0, 300).map(f).return"),
         "early_return": program("fn f(x: i32) -> i32 { if x < 10 { return 0; } let mut n = x; let mut i = 0; while i < 3 { if n % 2 == 0 { n = n / 2; } i += 1; } if n == x { return -n; } n } range(0, 100).map(f).return"),
-        "option_try": program("fn half(x: i32) -> Option<i32> { if x % 2 == 0 { Some(x / 2) } else { None } } fn f(x: i32) -> Option<i32> { let a = half(x)?; let b = half(a)?; Some(b + 1) } range(0, 100).filter_map(f).return"),
+        "try_option": program("fn half(x: i32) -> Option<i32> { if x % 2 == 0 { Some(x / 2) } else { None } } fn f(x: i32) -> Option<i32> { let a = half(x)?; let b = half(a)?; Some(b + 1) } range(0, 100).filter_map(f).return"),
         "outside_functions": outside,
         "refused_programs": refused,
         "keep_first_n_keys": program(CUSTOMER + "fn c(a: &Customer, b: &Customer) -> Ordering { a.c_nationkey.cmp(&b.c_nationkey).then_with(|| b.c_mktsegment.cmp(&a.c_mktsegment)).then(b.c_custkey.cmp(&a.c_custkey)) } customers.keep_first_n(40, c).return", CUSTOMERS),
@@ -363,7 +363,7 @@ def oracle_sql() -> dict[str, str]:
         "match_payload": "SELECT o_orderkey AS key, o_orderstatus AS status FROM orders WHERE o_orderstatus <> 'F'",
         "integer_wrap": "SELECT range AS x, CAST(range * 3 % 256 AS SMALLINT) AS a, CAST((range * 3 + 128) % 256 - 128 AS TINYINT) AS b, CAST((range * 40000000 + 2147483648) % 4294967296 - 2147483648 AS INTEGER) AS c, CAST(trunc((range - 7) / 2) AS BIGINT) % 5 AS d FROM range(0, 300)",
         "early_return": "SELECT CAST(CASE WHEN range < 10 THEN 0 WHEN range % 2 = 1 THEN -range WHEN range % 8 = 0 THEN range // 8 WHEN range % 4 = 0 THEN range // 4 ELSE range // 2 END AS INTEGER) AS value FROM range(0, 100)",
-        "option_try": "SELECT CAST(range // 4 + 1 AS INTEGER) AS value FROM range(0, 100) WHERE range % 4 = 0",
+        "try_option": "SELECT CAST(range // 4 + 1 AS INTEGER) AS value FROM range(0, 100) WHERE range % 4 = 0",
         "outside_functions": "SELECT CAST(list_sum(list_transform(string_split(CAST(o_orderkey AS VARCHAR), ''), lambda c: CAST(c AS BIGINT))) AS BIGINT) AS value FROM orders ORDER BY 1 DESC LIMIT 25",
         "refused_programs": "SELECT true AS body_names_function, true AS unknown_function, true AS reversed_range, true AS overflow",
         "keep_first_n_keys": "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer ORDER BY c_nationkey DESC, c_mktsegment, c_custkey LIMIT 40",
