@@ -16,6 +16,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("command", choices=("run", "analyze"), nargs="?", default="run")
     parser.add_argument("file", nargs="?")
     parser.add_argument("--master", default=None, help="the Spark master, if no session is configured")
+    parser.add_argument("--wrap-overflow", action="store_true", help="integers wrap around instead of stopping the program")
     given = list(sys.argv[1:] if args is None else args)
     if given and given[0] not in ("run", "analyze", "-h", "--help"):
         given.insert(0, "run")
@@ -32,7 +33,7 @@ def main(args: list[str] | None = None) -> int:
         builder = SparkSession.builder.appName("rivulet")
         spark = (builder.master(options.master) if options.master else builder).getOrCreate()
         try:
-            out = run(text, spark)
+            out = run(text, spark, wrap_overflow=options.wrap_overflow)
             if out is not None:  # returned items are printed as a file would hold them
                 out.write_file("/dev/stdout")
         except ProgramError as e:

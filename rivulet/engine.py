@@ -9,7 +9,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.functions.exprs import Compiler, Emitter, Node, Unsupported, comparator_keys, inputs_of, substituted, with_nodes
+from rivulet.functions.exprs import Compiler, Emitter, Node, Unsupported, comparator_keys, inputs_of, substituted, with_nodes, wrapped
 from rivulet.functions.types import INTEGERS, Catalog, EnumDef, StructDef, Type
 from rivulet.operators.combinatorics import expand
 from rivulet.operators.fold import fold, fold_algebraic
@@ -47,17 +47,19 @@ class Typed:
 
 class Engine:
     """functions: outside functions by name, from Columns to Column (for keep_first_n a SortKey or a comparator on
-    items). schemas: outside structs. constants: names usable as range ends. tables: streams usable as variables."""
+    items). schemas: outside structs. constants: names usable as range ends. tables: streams usable as variables.
+    wrap_overflow: + - * and negation of integers wrap around in their type instead of raising."""
 
-    def __init__(self, spark: SparkSession, functions: dict | None = None, schemas: dict[str, T.StructType] | None = None, constants: dict[str, int] | None = None, tables: dict[str, Stream] | None = None, enforce_bounds: bool = False):
+    def __init__(self, spark: SparkSession, functions: dict | None = None, schemas: dict[str, T.StructType] | None = None, constants: dict[str, int] | None = None, tables: dict[str, Stream] | None = None, enforce_bounds: bool = False, wrap_overflow: bool = False):
         self.spark, self.functions, self.constants = spark, functions or {}, constants or {}
         self.schemas, self.tables, self.enforce_bounds = schemas or {}, tables or {}, enforce_bounds
+        self.wraps = wrap_overflow
 
     def prepare(self, program: Program) -> None:
         self.catalog = Catalog({s.name: s for s in program.of(StructDef)}, {e.name: e for e in program.of(EnumDef)}, external=self.schemas)
         resolve(self.catalog)
         self.declared = {f.name: f for f in program.of(FunctionStatement)}
-        self.compiler = Compiler(self.declared, self.catalog, self.functions)
+        self.compiler = Compiler(self.declared, self.catalog, self.functions, self.wraps)
         self.variables: dict[str, Typed] = {n: Typed(s) for n, s in self.tables.items()}
         uses: dict[str, int] = {}
         for s in (*program.of(StreamStatement), *program.of(VariableStatement)):
@@ -155,7 +157,7 @@ class Engine:
             raise ProgramError(str(e)) from None
 
     def emitter(self, **inputs: Column) -> Emitter:
-        return Emitter(inputs, self.functions)
+        return Emitter(inputs, self.functions, self.wraps)
 
     def step(self, now: Typed, s: Step) -> Typed:
         stream = now.stream
@@ -301,10 +303,17 @@ class Engine:
             return Typed(fold(stream, init, self.functions[s.function]), kind)
         algebraic = self.algebraic(node, start) if start is not None else None
         if algebraic is not None:
-            fields = {}
+            fields, sums = {}, {}
             for name, (op, what, begin) in algebraic.items():
-                fields[name] = (op, lambda v, w=what: self.emitter(x=v).column(w), self.emitter().column(begin))
+                if self.wraps and op == "+" and (integer := begin.integer or what.integer or (kind.kind if kind else None)) in INTEGERS:
+                    sums[name] = integer  # summed without overflow, cut to the type once
+                wide = lambda c, n=name: c.cast("decimal(38,0)") if n in sums else c
+                fields[name] = (op, lambda v, w=what, wide=wide: wide(self.emitter(x=v).column(w)), wide(self.emitter().column(begin)))
             out = fold_algebraic(stream, fields, struct=node.op == "struct")
+            if sums:
+                cell = (lambda n: F.col(VALUE)[n]) if node.op == "struct" else (lambda n: F.col(VALUE))
+                cut = [(wrapped(cell(n), sums[n]) if n in sums else cell(n)).alias(n) for n in fields]
+                out = out.map(lambda v: F.struct(*cut) if node.op == "struct" else cut[0])
             what = self.catalog.struct(kind.name) if node.op == "struct" else self.catalog.spark(kind)
             return Typed(Stream(out.frame.select(SEQ, F.col(VALUE).cast(what).alias(VALUE)), 1), kind)
         what = self.catalog.spark(kind)

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.stream import SEQ, VALUE, Stream
+from rivulet.stream import SEQ, VALUE, Stream, kept
 
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 256 << 20
 SPREAD_ROWS = 5_000_000  # tuples per task, about, once pairs are spread
 
 
@@ -40,6 +41,16 @@ def positioned(s: Stream, carried: dict[str, Column] | None = None) -> DataFrame
     return base.select((F.row_number().over(Window.orderBy(SEQ)) - 1).cast("long").alias("_p"), "_v", *(carried or {}))
 
 
+def broadcastable(base: DataFrame, n: int) -> bool:
+    """Whether n rows of base stay within the limits; types of no fixed width are measured, in one aggregate."""
+    if n > BROADCAST_ROWS:
+        return False
+    loose = [f.name for f in base.schema if any(w in f.dataType.simpleString() for w in ("string", "binary", "array", "map"))]
+    if not loose:
+        return True  # at most a million rows of a few fixed fields
+    return (base.agg(F.sum(F.length(F.to_json(F.struct(*loose))))).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def falling(x: Column, k: int) -> Column:
     """C(x, k) as a Column: products of long values, divided as they grow, so every step is whole."""
     out = F.lit(1).cast("long")
@@ -92,10 +103,12 @@ def expand(s: Stream, op: str, k: int, carried: dict[str, Column] | None = None,
         if op == "permutations_with_replacement":
             return none()
         return Stream(spark.range(1).select(F.col("id").alias(SEQ), F.array().cast(out_type).alias(VALUE)), 1)
+    if k == 1 and not (pieces or carried or max_rows is not None):
+        return Stream(s.frame.select(SEQ, F.array(VALUE).alias(VALUE)), s.count)
     base = positioned(s, carried)
     n = s.count
     if n is None:
-        base = base.persist()
+        base = kept(base)
         n = base.count()
     rows = total(op, n, k)
     if max_rows is not None and rows > max_rows:
@@ -103,11 +116,12 @@ def expand(s: Stream, op: str, k: int, carried: dict[str, Column] | None = None,
     if not rows:
         return none()
     side = lambda i: base.select(F.col("_p").alias(f"_p{i}"), F.col("_v").alias(f"_v{i}"), *(F.col(c).alias(f"{c}_{i}") for c in carried or {}))
+    small = broadcastable(base, n)
     # spread what multiplies: the first items, or the first pairs where there are tuples enough
     width = spark.sparkContext.defaultParallelism * 4
     joined = side(0).repartition(max(1, min(width, n)), "_p0") if rows > 10_000 else side(0)
     for i in range(1, k):
-        right = F.broadcast(side(i)) if n <= BROADCAST_ROWS else side(i)
+        right = F.broadcast(side(i)) if small else side(i)
         if op == "combinations":
             joined = joined.join(right, F.col(f"_p{i - 1}") < F.col(f"_p{i}"))
         elif op == "permutations":

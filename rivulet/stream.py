@@ -53,7 +53,7 @@ class Stream:
     def from_table(df: DataFrame, order_by: list[str] | str) -> Stream:
         """Rows of a table as items (a struct of its columns, or the column if there is one), ordered by order_by.
 
-        Integer columns order by themselves; only other keys cost a global numbering.
+        Integer columns order by themselves; other keys cost a range-partitioned sort.
         """
         from rivulet.sources.ranges import from_table
 
@@ -166,8 +166,8 @@ class Stream:
         return [r[VALUE] for r in self.frame.orderBy(SEQ).select(VALUE).collect()]
 
     def persist(self) -> Stream:
-        """Keeps the items for several consumers."""
-        return Stream(self.frame.persist(), self.count)
+        """Keeps the items for several consumers, until release()."""
+        return Stream(kept(self.frame), self.count)
 
     def write_file(self, path: str, compression: str | None = None) -> None:
         from rivulet.sources.sink import write_csv
@@ -175,6 +175,21 @@ class Stream:
         write_csv(self, path, compression)
 
 
+KEPT: list[DataFrame] = []
+
+
+def kept(frame: DataFrame) -> DataFrame:
+    """frame, persisted until release()."""
+    KEPT.append(frame.persist())
+    return KEPT[-1]
+
+
+def release() -> None:
+    """Frees what streams and programs keep for several readers; streams made before still work, and compute it again."""
+    while KEPT:
+        KEPT.pop().unpersist()
+
+
 def sequence_array(df: DataFrame) -> Column:
     """SEQ as an array, whatever its type."""
     return F.col(SEQ) if isinstance(df.schema[SEQ].dataType, T.ArrayType) else F.array(F.col(SEQ).cast("long"))

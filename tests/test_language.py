@@ -88,6 +88,33 @@ def test_programs(spark, text, expected):
         assert items(spark, text) == expected
 
 
+WRAPPING = [
+    ("fn f(x: i32) -> i32 { x * 2000000000 } range(0,3).map(f).return", [0, 2000000000, -294967296]),
+    ("fn f(x: i32) -> u8 { let a = x as u8; a + 254 } range(0,4).map(f).return", [254, 255, 0, 1]),
+    ("fn f(x: i32) -> u8 { let a = x as u8; a - 2 } range(0,4).map(f).return", [254, 255, 0, 1]),
+    ("fn f(x: i32) -> u32 { let a = (x - 1) as u32; a * a } range(0,3).map(f).return", [1, 0, 1]),
+    ("fn f(x: i32) -> i64 { let a = x as i64 + 9223372036854775806; a * 3 } range(0,3).map(f).return", [9223372036854775802, 9223372036854775805, -9223372036854775808]),
+    ("fn f(x: i32) -> i8 { let a = (x + 127) as i8; -a } range(0,2).map(f).return", [-127, -128]),
+    ("fn f(x: i32) -> i32 { let mut h: i32 = 17; let mut i = 0; while i < 8 { h = h * 31 + x; i += 1; } h } range(0,2).map(f).return", "hash"),
+    ("fn add(n: i32, x: i32) -> i32 { n + x * 1000000000 } range(0,10).fold(0, add).return", [45 * 10**9 % 2**32]),
+]
+
+
+@pytest.mark.parametrize(("text", "expected"), WRAPPING)
+def test_overflow_wraps_on_request(spark, text, expected):
+    def cut(v):
+        return (v + 2**31) % 2**32 - 2**31
+
+    if expected == "hash":
+        expected = []
+        for x in range(2):
+            h = 17
+            for _ in range(8):
+                h = cut(h * 31 + x)
+            expected.append(h)
+    assert run(text, spark, wrap_overflow=True).items() == expected
+
+
 def test_declarations_may_follow_their_use(spark):
     assert items(spark, "range(0, 2).map(f).return fn f(x: i32) -> i32 { g(x) + 1 } fn g(x: i32) -> i32 { x * 5 }") == [1, 6]
 

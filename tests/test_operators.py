@@ -95,6 +95,44 @@ def test_from_table_by_text_key(spark):
     assert [r["v"] for r in Stream.from_table(df, "k").items()] == [2, 1, 3]
 
 
+def test_from_table_sorts_by_ranges(spark):
+    rows = [(f"{(i * 7919) % 1000:04d}", i) for i in range(1000)]
+    s = Stream.from_table(spark.createDataFrame(rows, "k string, v int").repartition(7), ["k"])
+    assert [r["v"] for r in s.items()] == [v for _, v in sorted(rows)]
+    assert [r["v"] for r in s.filter(lambda r: r["v"] % 100 == 0).combinations(2).items()[0]] == [v for _, v in sorted(rows) if v % 100 == 0][:2]
+    plan = s.frame._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "SinglePartition" not in plan
+
+
+def test_single_tuples_are_not_numbered(spark):
+    s = Stream.from_table(spark.createDataFrame([("b",), ("a",), (None,)], "k string"), "k")
+    assert s.combinations(1).items() == [[None], ["a"], ["b"]]
+    assert "SinglePartition" not in s.permutations(1).frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tuples_of_wide_items_are_not_broadcast(spark, monkeypatch):
+    from rivulet.operators import combinatorics
+
+    s = Stream.range(spark, 0, 20).map(lambda v: F.repeat(v.cast("string"), 50))
+    small = s.combinations(2)
+    assert "BroadcastNestedLoopJoin" in small.frame._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(combinatorics, "BROADCAST_BYTES", 100)
+    assert s.combinations(2).items() == small.items()
+    assert not combinatorics.broadcastable(s.frame, 20)
+
+
+def test_kept_items_are_released(spark):
+    from rivulet import stream
+
+    stream.release()
+    s = Stream.range(spark, 0, 6).filter(lambda v: v % 2 == 0)
+    pairs = s.combinations(2)
+    assert pairs.df.count() == 3 and stream.KEPT
+    kept = stream.KEPT[0]
+    stream.release()
+    assert not kept.is_cached and not stream.KEPT and pairs.df.count() == 3
+
+
 def test_tops_by_comparator_over_many_chunks(spark, monkeypatch):
     from rivulet.operators import topn
 
