@@ -75,10 +75,9 @@ def test_packing_round_trip(spark):
     import public_tokenizers
 
     rng = random.Random(1)
-    texts = [" ".join(rng.choice(["The", "café", "x1", "don't", "\n", "42"]) for _ in range(n)) for n in (0, 1, 30, 700, 5000, 60, 60)] + [None, "same", "same"]
+    texts = [" ".join(rng.choice(["The", "café", "x1", "don't", "\n", "42"]) for _ in range(n)) for n in (0, 1, 30, 700, 5000, 60, 60)] + [None, "same", "same", "so <|endoftext|> it ends", "long <|endoftext|> " * 20000]
     rows = packing.pack(clashing(documents(spark, texts)), max_tokens=64, partition_tokens=2000).toPandas()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     for i, t in enumerate(texts):
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
         mine = rows[rows.doc_id == i].sort_values("start")
@@ -91,6 +90,16 @@ def test_packing_round_trip(spark):
     assert rows.sequence_id.nunique() <= total // 64 + -(-total // 2000) + 1
 
 
+def test_packing_of_rows_without_id(spark):
+    odd = [(None, "a b c", "en", "s", 5), (None, "d e " * 3000, "en", "s", 1), (None, None, None, None, None), (None, "a b c", "en", "s", 5), (7, "a b c", "en", "s", 5), (7, "a b c", "en", "s", 5)]
+    rows = packing.pack(clashing(spark.createDataFrame(odd, DOCS)), max_tokens=64).toPandas()
+    total = sum(len(packing_ids(t)) for _, t, *_ in odd)
+    assert rows.length.sum() == total and rows[rows.doc_id == 7].length.sum() == 2 * len(packing_ids("a b c"))
+    for _, one in rows.sort_values("offset").groupby("sequence_id"):
+        assert (one.offset.to_numpy() == np.cumsum(one.length) - one.length).all() and one.length.sum() <= 64
+    assert rows.sequence_id.nunique() <= total // 64 + 2
+
+
 def test_packing_ids_of_added_tokens(spark):
     from tokenizers import Tokenizer
 
@@ -183,6 +192,8 @@ def test_language_odd_texts(spark):
     assert all(0 <= r["score"] <= 1 for r in rows.values())
     assert {r["lang_pred"] for r in lang_id.op3_query(docs).collect()} == {"und"}  # nothing to learn from
     assert lang_id.known_language(docs, model).columns == docs.columns
+    again = Counter((r["doc_id"], r["lang_pred"], r["score"]) for r in lang_id.identify(docs.union(docs).union(docs), model).collect())
+    assert again == {(i, r["lang_pred"], r["score"]): 3 for i, r in rows.items()}  # repeated rows each give one
 
 
 def plain_probabilities(model, data):
